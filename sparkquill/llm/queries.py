@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sparkquill.llm import fm_decontaminate
+from sparkquill.llm import fm_decontaminate, token_planes
 
 QUERIES = {
     "op1_decontaminate": fm_decontaminate.op1_decontaminate,
+    "op5_token_planes": token_planes.op5_token_planes,
 }
 
 ORACLES: dict[str, str] = {}
