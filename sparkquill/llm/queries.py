@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from sparkquill.llm import fm_decontaminate, token_planes
+from sparkquill.llm import compression_quality, fm_decontaminate, prefix_targets, token_planes, toxicity_cnn
 
 QUERIES = {
     "op1_decontaminate": fm_decontaminate.op1_decontaminate,
+    "op2_prefix_targets": prefix_targets.op2_prefix_targets,
+    "op3_toxicity": toxicity_cnn.op3_toxicity,
     "op5_token_planes": token_planes.op5_token_planes,
+    "op6_quality": compression_quality.op6_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_prefix_targets": prefix_targets.OP2_SQL,
+}
