@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkquill.llm import compression_quality, fm_decontaminate, prefix_targets, token_planes, toxicity_cnn
+from sparkquill.llm import compression_quality, dart_minhash, fm_decontaminate, prefix_targets, token_planes, toxicity_cnn
 
 QUERIES = {
     "op1_decontaminate": fm_decontaminate.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity_cnn.op3_toxicity,
     "op5_token_planes": token_planes.op5_token_planes,
     "op6_quality": compression_quality.op6_quality,
+    "op8_near_duplicates": dart_minhash.op8_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {
