@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkquill.llm import compression_quality, dart_minhash, fm_decontaminate, prefix_targets, token_planes, toxicity_cnn
+from sparkquill.llm import compression_quality, dart_minhash, fm_decontaminate, prefix_targets, source_mix, token_planes, toxicity_cnn
 
 QUERIES = {
     "op1_decontaminate": fm_decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_planes": token_planes.op5_token_planes,
     "op6_quality": compression_quality.op6_quality,
     "op8_near_duplicates": dart_minhash.op8_near_duplicates,
+    "op10_source_mix": source_mix.op10_source_mix,
 }
 
 ORACLES: dict[str, str] = {
