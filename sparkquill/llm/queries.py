@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sparkquill.llm import cap_filters, compression_quality, dart_minhash, fm_decontaminate, prefix_targets, source_mix, token_planes, toxicity_cnn, warc_store
+from sparkquill.llm import cap_filters, compression_quality, dart_minhash, fm_decontaminate, prefix_targets, source_mix, token_planes, toxicity_cnn, unigram_counts, warc_store
 
 QUERIES = {
     "op1_decontaminate": fm_decontaminate.op1_decontaminate,
     "op2_prefix_targets": prefix_targets.op2_prefix_targets,
     "op3_toxicity": toxicity_cnn.op3_toxicity,
+    "op4_token_counts": unigram_counts.op4_token_counts,
     "op5_token_planes": token_planes.op5_token_planes,
     "op6_quality": compression_quality.op6_quality,
     "op7_cap_filters": cap_filters.op7_cap_filters,
