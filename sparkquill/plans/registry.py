@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from sparkquill.plans import analytics_queries, search_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = search_queries.QUERIES | analytics_queries.QUERIES
+ORACLES: dict[str, str] = search_queries.ORACLES | analytics_queries.ORACLES
