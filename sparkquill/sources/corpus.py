@@ -77,7 +77,7 @@ def scan_folder(spark: SparkSession, root: str, source: str, zone: str, ignore:
     """Notes below a folder: file_id, source, zone, rel, sig (time and size), size, content; hidden and ignored paths are left out."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(NOTE_EXTENSIONS) + "}").load(root)
     base = "/" + root.removeprefix("file:").strip("/") + "/"
-    rel = F.substring_index(F.col("path"), F.lit(base), -1)
+    rel = F.substring_index("path", base, -1)
     parts = F.split(rel, "/")
     hidden = F.exists(parts, lambda p: p.startswith(".") | p.isin(*ignore)) if ignore else F.exists(parts, lambda p: p.startswith("."))
     sig = F.concat_ws(":", F.unix_millis("modificationTime").cast("string"), F.col("length").cast("string"))
