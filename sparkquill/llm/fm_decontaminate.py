@@ -104,11 +104,13 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
     """Suffixes in order, each up to its next 0; equal ones by place (prefix doubling)."""
     n = len(seq)
     rank, h = seq.astype(np.int64), 1
+    ends = np.append(np.flatnonzero(seq == 0), n)
+    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # symbols before the next 0
     width = int(rank.max(initial=0)) + 1
     while True:
         longer = np.zeros(n, np.int64)
         longer[: n - h] = rank[h:]
-        key = rank * width + np.where(rank > 0, longer, 0)
+        key = rank * width + np.where(left > h, longer, 0)
         order = np.argsort(key, kind="stable")
         sorted_key = key[order]
         new = np.empty(n, np.int64)
