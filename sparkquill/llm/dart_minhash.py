@@ -9,11 +9,13 @@ total weight, and doubles that where one is empty: so the work is the elements p
 Two texts agree in a coordinate with a probability of their weighted Jaccard similarity.
 
 BANDS bands of ROWS coordinates give buckets. Texts with the same elements are one class beforehand.
-Within a bucket every class is compared with the smallest one first; the links found join into
-components, and only pairs of a bucket that are still in different components are compared then. So a
-bucket of thousands of near copies costs its size, and every pair of a bucket is either linked or
-compared: no candidate is dropped. One bit of each coordinate rules out pairs whose agreement makes
-the wanted similarity most unlikely (under one in a million); the rest is checked exactly.
+First every class of a bucket is compared with one of them, the hub, and the links join classes into
+components. A bucket of three or more that then still has several components is compared whole: its
+members are cut into tiles of TILE, each pair of tiles is a group, and the sizes of all intersections
+in a group come from one product of its incidence matrix. A group reports an edge per member at most,
+never pairs. So every pair of a bucket is linked, joined otherwise or compared, and no candidate is
+dropped. In the first step one bit of each coordinate rules out pairs whose agreement makes the wanted
+similarity most unlikely (under one in a million); all else is checked exactly.
 
 Defined results: null texts and texts without words link with nothing and are kept; rows with a null
 doc_id take part, and a group's component_id is its smallest doc_id that is not null; rows that
@@ -42,6 +44,10 @@ BANDS, ROWS = 25, 5
 K = BANDS * ROWS
 #: At similarity 0.8 a bit of 125 differs with probability 0.1; more than 31 differ in under one of a million pairs.
 MOST_BITS = 31
+#: Members of a bucket in a tile; columns of the incidence matrix at once.
+TILE = 300
+COLUMNS = 4096
+BROADCAST_ROWS = 100_000
 CHUNK = 4 << 20
 CHUNK_ROWS = 4096
 
@@ -183,7 +189,7 @@ def _element_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, weights:
     return rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["d"]) & (rows["text_hash"] == wanted["h"])).select("key", "text").mapInArrow(run, "key binary, elements binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, weights: str, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose exact similarity reaches the wanted one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,13 +206,75 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, weights: st
                 good.append(shared >= similarity * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = written(_element_sets(docs, classes, keys, weights), "elements")
     with_b = pairs.join(sets.select(F.col("key").alias("b"), F.col("elements").alias("of_b")), "b")
     with_both = with_b.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("of_a")), "a")
     return with_both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a binary, b binary")
 
 
+def _tile_edges(elements: list[np.ndarray], left: np.ndarray, inside: bool, similarity: float) -> np.ndarray:
+    """For each member of a group the smallest member that it is linked with, directly or over others."""
+    m = len(elements)
+    sizes = np.fromiter(map(len, elements), np.int64, m)
+    owner = np.repeat(np.arange(m), sizes)
+    _, column, count = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
+    shared = count[column] > 1  # an element of one member is in no intersection
+    column, owner = (np.cumsum(count > 1) - 1)[column[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((m, m), np.float32)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (begin, begin + COLUMNS))
+        part = np.zeros((m, COLUMNS), np.float32)
+        part[owner[a:b], column[a:b] - begin] = 1
+        both += part @ part.T
+    linked = both >= similarity * (sizes[:, None] + sizes[None] - both)
+    if not inside:
+        linked &= left[:, None] != left[None]
+    np.fill_diagonal(linked, True)
+    root = np.arange(m)
+    while True:
+        least = np.where(linked, root[None], m).min(axis=1)
+        least = np.minimum(least, root)[least]
+        if (least == root).all():
+            return root
+        root = least
+
+
+def _tiled(apart: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that join what is similar within each bucket of apart (bucket, key, root); sizes: bucket, n."""
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    own = apart.join(sizes, "bucket").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("bucket", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "key", "root")
+    rows = dealt.join(sets, "key").select("bucket", "p", "q", "tile", "key", "root", "elements")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len({x[2] for x in held}) < 2:  # one component already
+                return
+            held.sort(key=lambda x: x[1])
+            root = _tile_edges([np.frombuffer(x[3], np.uint64) for x in held], np.array([x[0] == group[1] for x in held]), group[1] == group[2], similarity)
+            some = np.flatnonzero(root != np.arange(len(held)))
+            if len(some):
+                yield pa.RecordBatch.from_pydict({"a": pa.array([held[root[i]][1] for i in some], pa.binary()), "b": pa.array([held[i][1] for i in some], pa.binary())})
+
+        for batch in batches:
+            for bucket, p, q, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, p, q) != group:
+                    yield from done()
+                    group, held = (bucket, p, q), []
+                held.append(rest)
+        yield from done()
+
+    return rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(run, "a binary, b binary")
+
+
+def _small(held: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has at most BROADCAST_ROWS rows (of a few dozen bytes)."""
+    return F.broadcast(held) if held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else held
+
+
 def _bits_differ(x: str, y: str):
     return F.bit_count(F.col(f"{x}.low").bitwiseXOR(F.col(f"{y}.low"))) + F.bit_count(F.col(f"{x}.high").bitwiseXOR(F.col(f"{y}.high")))
 
@@ -217,26 +285,24 @@ def near_duplicates(docs: DataFrame, weights: str = "set", similarity: float = S
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     classes = written(signed.where("key is not null").groupBy("key").agg(first, F.any_value("bands").alias("bands"), F.any_value("low").alias("low"), F.any_value("high").alias("high")), "classes")
     members = classes.select(F.explode("bands").alias("bucket"), F.struct("key", "low", "high").alias("x"))
-    hubs = members.groupBy("bucket").agg(F.min("x").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
-    crowded = written(members.join(hubs, "bucket"), "buckets")
-
-    near = _bits_differ("x", "hub") <= MOST_BITS
-    pairs = written(crowded.where((F.col("x.key") != F.col("hub.key")) & near).select(F.col("hub.key").alias("a"), F.col("x.key").alias("b")).distinct(), "pairs")
-    links = _verified(pairs, docs, classes, weights, similarity)
-    roots = written(components(links), "roots")
-
-    # Pairs of a bucket that are still apart. Buckets that are one component by now have none.
-    rooted = crowded.select("bucket", "x", F.col("x.key").alias("node")).join(roots, "node", "left").select("bucket", "x", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("bucket")
-    apart = written(rooted.join(mixed, "bucket", "left_semi"), "apart")
-    left, right = apart.select("bucket", F.col("x").alias("p"), F.col("root").alias("p_root")), apart.select("bucket", F.col("x").alias("q"), F.col("root").alias("q_root"))
-    crossed = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("p_root") < F.col("q_root")) & (_bits_differ("p", "q") <= MOST_BITS))
-    more = crossed.select(F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = written(more, "more-pairs")
-    if not more.isEmpty():
-        others = _verified(more, docs, classes, weights, similarity)
-        roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(others)), "roots")
-
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    crowded = written(members.join(shared, "bucket"), "buckets")
+    sets = written(_element_sets(docs, classes, crowded.select("x.key").distinct(), weights), "elements")
+    hubs = crowded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("x.key").alias("order"), "x")).alias("hub"))
+    near = (F.col("x.key") != F.col("hub.x.key")) & (_bits_differ("x", "hub.x") <= MOST_BITS)
+    pairs = crowded.join(hubs, "bucket").where(near).select(F.col("hub.x.key").alias("a"), F.col("x.key").alias("b")).distinct()
+    roots = written(components(_verified(pairs, sets, similarity)), "roots")
+
+    # A bucket of two is done by now.
+    rooted = crowded.select("bucket", F.col("x.key").alias("node")).join(_small(roots), "node", "left").select("bucket", F.col("node").alias("key"), F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("n > 2 and least <> most").select("bucket", "n")
+    mixed = written(mixed, "mixed")
+    if not mixed.isEmpty():
+        sizes = _small(mixed)
+        more = _tiled(rooted, sizes, sets, similarity)
+        roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
+
+    roots = _small(roots)
     rooted = classes.select("key", "first").join(roots, classes["key"] == roots["node"], "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("first"))
     by_key = rooted.select("key", "root").join(smallest, "root").select("key", "first")

@@ -1,7 +1,14 @@
-"""Connected components of an edge table by alternating large-star and small-star rounds."""
+"""Connected components of an edge table.
+
+Large tables go by alternating large-star and small-star rounds; a table of at most ONE_TASK edges,
+counted before, goes through union-find in one task, with the same result.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,13 +16,35 @@ from sparkquill.llm.common import written
 
 #: Rounds shrink paths geometrically; more than this many mean a fault.
 MOST_ROUNDS = 60
+ONE_TASK = 200_000
 
 
 def _distinct(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict = {}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            up.setdefault(u, u)
+            up.setdefault(v, v)
+            x, y = root(u), root(v)
+            up[max(x, y)] = min(x, y)
+        kind = batch.schema.field(0).type
+    if up:
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], names=["node", "root"])
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """From edges (a, b) of any ordered type: node, root (the smallest node reachable), for every node with an edge.
 
     Minima are aggregated before the shuffle and joined back, so a node with very many edges is no
@@ -23,6 +52,9 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder. Null ends and loops are ignored.
     """
     held = written(_distinct(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), "edges")
+    if held.limit(one_task + 1).count() <= one_task:
+        kind = held.schema["u"].dataType.simpleString()
+        return held.coalesce(1).mapInArrow(_union_find, f"node {kind}, root {kind}")
     mark = None
     for _ in range(MOST_ROUNDS):
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
