@@ -21,7 +21,8 @@ def diff(old: DataFrame, new: DataFrame, verify: bool = False) -> DataFrame:
 
 def refreshed(index: DataFrame, changes: DataFrame, rebuilt: DataFrame) -> DataFrame:
     """An index (with file_id) after a diff: rows of unchanged files, and the rebuilt rows of the others."""
-    return index.join(changes.where("change = 'same'").select("file_id"), "file_id", "left_semi").unionByName(rebuilt)
+    kept = index.join(changes.where("change = 'same'").select("file_id"), "file_id", "left_semi").select(*index.columns)
+    return kept.unionByName(rebuilt)
 
 
 def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
