@@ -7,6 +7,7 @@ filters on source, zone or folder act on the scored rows only, as the ranking co
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,13 +32,18 @@ def sections_of(documents: DataFrame) -> DataFrame:
 
 def weighted(sections: DataFrame, only: list[str] | None = None, weights: dict[str, float] = FIELDS) -> DataFrame:
     """Adds length (sum of field weights over all tokens) and terms (term, weight), of the given terms only if any are given."""
-    fields = {f: T.tokens(F.col(f)) for f in weights}
+    fields = {f: T.tokens(F.col(f), stemmed=only is None) for f in weights}
     held = sections.select("*", *[t.alias(f"tokens_{f}") for f, t in fields.items()])
     length = sum((F.size(f"tokens_{f}") * w for f, w in weights.items()), F.lit(0.0))
 
     def kept(f: str) -> Column:
         t = F.col(f"tokens_{f}")
-        return F.filter(t, lambda x: x.isin(only)) if only is not None else t
+        if only is None:
+            return t
+        # A stem is its word but for the end, with two letters of its own at most: few words need stemming.
+        begins = sorted({x[:-2] for x in only})
+        near = F.filter(t, lambda x: reduce(lambda a, p: a | x.startswith(p), begins, F.lit(False)))
+        return F.filter(F.transform(near, T.stem), lambda x: x.isin(only))
 
     def with_weight(f: str, w: float) -> Column:
         return F.transform(kept(f), lambda x: F.struct(x.alias("term"), F.lit(w).alias("weight")))
