@@ -170,7 +170,7 @@ class Mix:
         block = self.block
         places = self.placed.where("size > 0").select("doc_id", "text_hash", "rank", "begin", "size", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))).alias("block"))
         start = F.col("block") * block
-        taken = places.join(self.slots, ["rank", "block"])
+        taken = places.join(self.slots.hint("merge"), ["rank", "block"])  # the slots grow with the corpus: never broadcast
         first = F.greatest(F.col("begin"), start)
         last = F.least(F.col("begin") + F.col("size"), start + F.col("words"))
         return taken.where(last > first).select("doc_id", "text_hash", F.col("begin").alias("begin_in_source"), "rank", "shard", "turn", (first - F.col("begin")).alias("first"), (last - first).alias("words"))
