@@ -29,6 +29,8 @@ STEM_RULES = (
     ("(es|s|e)$", ""),
 )
 STEM_FROM = 5
+#: The last letters of what the rules replace.
+STEM_ENDS = sorted({ending[-1] for pattern, _ in STEM_RULES for ending in pattern.strip("()$").split("|")})
 SHORTEST_TOKEN = 2
 CLIP = {"snippet": 420, "heading": 200, "breadcrumb": 300, "file": 300, "term": 60, "context": 400, "synopsis": 220}
 
@@ -85,8 +87,9 @@ def fold_exact(text: Column) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """Light French stem of a folded word; words under five characters stay."""
-    return F.when(F.length(word) >= STEM_FROM, reduce(lambda w, r: F.regexp_replace(w, r[0], r[1]), STEM_RULES, word)).otherwise(word)
+    """Light French stem of a folded word; words under five characters stay, and words that no rule's last letter ends."""
+    some = (F.length(word) >= STEM_FROM) & F.right(word, F.lit(1)).isin(*STEM_ENDS)
+    return F.when(some, reduce(lambda w, r: F.regexp_replace(w, r[0], r[1]), STEM_RULES, word)).otherwise(word)
 
 
 def words(text: Column) -> Column:
