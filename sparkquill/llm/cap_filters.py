@@ -1,14 +1,14 @@
 """Embedding near-deduplication with spherical-cap filters.
 
-Filter directions are a random product code: the rotated space is cut into BLOCKS parts, each part has
-a codebook of random unit vectors, and every tuple of code words is a direction. A vector goes to all
-filters whose direction it exceeds the cap height with; list decoding finds them without looking at
-the others, dropping a partial tuple as soon as the best remaining words cannot lift it over the
-height. Vectors of one label and filter are compared exactly, in double precision.
+A label of at most EXACT distinct vectors is one filter: all its pairs are compared. For larger labels,
+filter directions are a random product code: the rotated space is cut into BLOCKS parts, each part has
+a codebook of random unit vectors, and every tuple of code words is a direction. A vector goes to the
+CAPTURES filters whose directions are nearest to it, so none is left without; list decoding finds them
+without looking at the others, as the best sums of two sorted lists lie under a hyperbola of ranks.
+Vectors of one label and filter are compared exactly, in double precision.
 
-Height and number of filters follow from the size of the largest label: a vector is expected in
-CAPTURES filters, and two vectors with cosine 0.98 share about three quarters of them, so the chance
-that a pair shares none is about exp(-0.75 * CAPTURES).
+The number of filters follows from the size of the largest label. Two vectors of a larger label that
+share no filter are missed; the README has the share measured at cosine 0.98.
 
 Vectors of a label that are equal component for component are one class; classes are compared, with
 their sizes. A filter's members are cut into tiles of TILE rows and every pair of tiles is a group of
@@ -26,7 +26,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +39,10 @@ COSINE = 0.98
 CAPTURES = 24
 #: Members of a filter that are aimed at, for the label with the most vectors.
 MEMBERS = 24
-LARGEST_BOOK = 1024
+LARGEST_BOOK = 4096
 TILE = 1000
+#: Classes of a label up to which all pairs are compared; a row is copied once a tile, less often than into CAPTURES filters.
+EXACT = 20_000
 SEED = 11
 
 
@@ -49,20 +50,18 @@ SEED = 11
 class CapFilters:
     """A product code over dim dimensions with about `wanted` directions."""
 
-    rotation: np.ndarray
     books: list[np.ndarray]
-    height: float
+    captures: int
 
     @classmethod
     def build(cls, dim: int, largest: int, captures: int = CAPTURES, members: int = MEMBERS, seed: int = SEED) -> CapFilters:
         rng = np.random.default_rng(seed)
         share = min(0.25, members / max(1, largest))  # of vectors in a filter
         wanted = max(4, int(captures / share))
-        blocks = 1
-        while wanted ** (1 / blocks) > LARGEST_BOOK or (blocks < 2 <= dim):
+        blocks = min(2, dim)
+        while wanted ** (1 / blocks) > LARGEST_BOOK and blocks < dim:
             blocks += 1
         size = max(2, round(wanted ** (1 / blocks)))
-        share = min(0.5, captures / size**blocks)
         rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         cuts = np.array_split(np.arange(dim), blocks)
         books = []
@@ -71,31 +70,23 @@ class CapFilters:
             part = rng.normal(size=(size, len(cut)))
             words[:, cut] = part / np.linalg.norm(part, axis=1, keepdims=True) / np.sqrt(blocks)
             books.append(words @ rotation)
-        code = cls(rotation, books, 0.0)
-        # The height that a share of directions exceeds, over random vectors.
-        probe = rng.normal(size=(256, dim))
-        probe /= np.linalg.norm(probe, axis=1, keepdims=True)
-        picks = sum(probe @ b[rng.integers(0, size, 20_000)].T for b in books)
-        code.height = float(np.quantile(picks, 1 - share)) if share > 1e-5 else NormalDist().inv_cdf(1 - share) / dim**0.5
-        return code
-
-    def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of every filter that a row exceeds, ordered by row and filter."""
-        scores = [unit @ b.T for b in self.books]
-        best = [s.max(axis=1) for s in scores]
-        row, total, code = np.arange(len(unit)), np.zeros(len(unit)), np.zeros(len(unit), np.int64)
-        for k, s in enumerate(scores):
-            rest = sum(best[k + 1 :], np.zeros(len(unit)))
-            size = s.shape[1]
-            found = []
-            step = max(1, (1 << 22) // size)
-            for i in range(0, len(row), step):
-                r = row[i : i + step]
-                both = total[i : i + step, None] + s[r]
-                at, word = np.nonzero(both + rest[r][:, None] >= self.height)
-                found.append((r[at], both[at, word], code[i : i + step][at] * size + word))
-            row, total, code = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (row, total, code)
-        return row, code
+        return cls(books, captures)
+
+    def decode(self, unit: np.ndarray) -> np.ndarray:
+        """The filters of every row, ascending: those of the `captures` best directions, or all if there are fewer."""
+        total, code = np.zeros((len(unit), 1)), np.zeros((len(unit), 1), np.int64)
+        for book in self.books:
+            scores, m = unit @ book.T, min(self.captures, len(book))
+            word = np.argpartition(-scores, m - 1, axis=1)[:, :m]
+            score = np.take_along_axis(scores, word, 1)
+            order = np.argsort(-score, axis=1, kind="stable")
+            word, score = np.take_along_axis(word, order, 1), np.take_along_axis(score, order, 1)
+            # A sum of ranks i and j has (i + 1)(j + 1) - 1 others that are no smaller.
+            i, j = np.nonzero(np.outer(np.arange(total.shape[1]) + 1, np.arange(m) + 1) <= self.captures)
+            sums, codes = total[:, i] + score[:, j], code[:, i] * len(book) + word[:, j]
+            order = np.argsort(-sums, axis=1, kind="stable")[:, : self.captures]
+            total, code = np.take_along_axis(sums, order, 1), np.take_along_axis(codes, order, 1)
+        return np.sort(code, axis=1)
 
 
 def _split(vectors: DataFrame, sound: bool) -> DataFrame:
@@ -120,7 +111,7 @@ def _classes(good: DataFrame) -> DataFrame:
     return good.mapInArrow(run, "vec_id long, label string, key binary, vector binary")
 
 
-def _captured(classes: DataFrame, code: CapFilters, dim: int) -> DataFrame:
+def _captured(classes: DataFrame, code: CapFilters, dim: int, exact: int) -> DataFrame:
     """A row per class and filter: label, filter, key, vector, n, all (the class's filters, ascending)."""
     shared = classes.sparkSession.sparkContext.broadcast(code)
 
@@ -128,15 +119,18 @@ def _captured(classes: DataFrame, code: CapFilters, dim: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            unit = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f8").reshape(-1, dim)
-            row, code_ = shared.value.decode(unit / np.linalg.norm(unit, axis=1, keepdims=True))
-            order = np.lexsort((code_, row))
-            row, code_ = row[order], code_[order]
-            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(code_))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["label", "key", "vector", "n", "filters"])
-
-    listed = classes.where(F.octet_length("vector") == 8 * dim).select("label", "key", "vector", "n").mapInArrow(run, "label string, key binary, vector binary, n long, filters array<long>")
+            lists = [[0]] * batch.num_rows
+            large = np.flatnonzero(batch.column(4).to_numpy(zero_copy_only=False))
+            for part in (large[i : i + 1000] for i in range(0, len(large), 1000)):
+                unit = np.frombuffer(b"".join(batch.column(2).take(pa.array(part)).to_pylist()), "<f8").reshape(-1, dim)
+                for i, filters in zip(part, shared.value.decode(unit / np.linalg.norm(unit, axis=1, keepdims=True)), strict=True):
+                    lists[i] = filters
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(lists, pa.list_(pa.int64()))], names=["label", "key", "vector", "n", "filters"])
+
+    usual = classes.where(F.octet_length("vector") == 8 * dim)
+    large = usual.groupBy("label").agg(F.count("*").alias("c")).where(F.col("c") > exact).select("label", F.lit(True).alias("large"))
+    sized = usual.join(F.broadcast(large), "label", "left").select("label", "key", "vector", "n", F.coalesce("large", F.lit(False)).alias("large"))
+    listed = sized.mapInArrow(run, "label string, key binary, vector binary, n long, filters array<long>")
     return listed.select("label", F.explode("filters").alias("filter"), "key", "vector", "n", F.col("filters").alias("all"))
 
 
@@ -224,7 +218,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE, captures: int = CAPTURES)
     dim = usual["bytes"] // 8
     largest = classes.groupBy("label").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0]
     code = CapFilters.build(dim, largest, captures)
-    found = written(_compared(_captured(classes, code, dim), dim, cosine), "found")
+    found = written(_compared(_captured(classes, code, dim, EXACT), dim, cosine), "found")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
     whole = classes.select("key", "n", "first").join(links, "key", "left").join(roots, "key", "left").select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "first", F.coalesce("root", "key").alias("root"))

@@ -257,6 +257,41 @@ def test_cap_filters_tiles(spark, monkeypatch):
     assert sorted(map(tuple, cap_filters.linked(table).collect())) == whole
 
 
+@pytest.mark.parametrize("largest", [218, 20_000, 300_000, 3_000_000])
+def test_cap_filters_leave_no_pair_apart(largest):
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(2, 1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.98 * a + (1 - 0.98**2) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
+    code = cap_filters.CapFilters.build(64, largest)
+    x, y = code.decode(a), code.decode(b)
+    assert x.shape == (1500, cap_filters.CAPTURES)
+    assert (x[:, :, None] == y[:, None, :]).any(axis=(1, 2)).all()
+
+
+def test_cap_filters_are_the_nearest_directions():
+    code = cap_filters.CapFilters([np.random.default_rng(k).normal(size=(6, 5)) for k in range(3)], 10)
+    unit = np.random.default_rng(8).normal(size=(40, 5))
+    first, second, third = (unit @ b.T for b in code.books)
+    sums = (first[:, :, None, None] + second[:, None, :, None] + third[:, None, None, :]).reshape(40, -1)
+    assert (code.decode(unit) == np.sort(np.argsort(-sums, axis=1)[:, :10], axis=1)).all()
+
+
+@pytest.mark.parametrize("exact", [0, 20_000])
+def test_cap_filters_link_every_pair(spark, monkeypatch, exact):
+    monkeypatch.setattr(cap_filters, "EXACT", exact)
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=(700, 64))
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(np.concatenate([a, a + 0.18 * rng.normal(size=a.shape)]))]
+    unit = np.array([r[1] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    got = cap_filters.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert want.sum() > 1000
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(want))
+
+
 # 8
 
 
