@@ -41,10 +41,13 @@ _NOTE = ["lang", "'# ' || source", "lines[1]", "'## Part ' || doc_id || ' ##'",
 _NOTE_SQL = f"""notes AS (SELECT file_id, {" || chr(10) || ".join(x.replace('lines[', "string_split(text, chr(10))[").replace('lines', 'lines') if 'lines[' not in x else f"coalesce(string_split(text, chr(10))[{x[6]}], '')" for x in _NOTE)} AS text FROM files)"""
 
 
-def _notes(spark: SparkSession, d: str) -> DataFrame:
+def _notes(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Notes with the second line of each document under the second heading, or with all lines from the second on."""
     files = _files(spark, d)
     lines = F.split("text", "\n", -1)
     first, second = (F.coalesce(F.get(lines, F.lit(i)), F.lit("")) for i in (0, 1))
+    if whole:
+        second = F.coalesce(F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n"), F.lit(""))
     rows = [F.col("lang"), F.concat(F.lit("# "), "source"), first, F.concat(F.lit("## Part "), F.col("doc_id").cast("string"), F.lit(" ##")), second, F.lit("```"), F.lit("# not a heading"), F.lit("```"), F.concat(F.lit("see [["), "source", F.lit("|alias]] and [["), "lang", F.lit("#part]]")), F.lit("# Last"), F.lit("### Deep"), first]
     return files.select("file_id", "source", F.array_join(F.array(*rows), "\n").alias("text"))
 
@@ -88,7 +91,31 @@ def wikilinks(spark, d):
 
 @query("chunk_merge_split")
 def chunk_merge_split(spark, d):
-    return structure.chunks(structure.sections(_notes(spark, d)))
+    return structure.chunks(structure.sections(_notes(spark, d, whole=True)))
+
+
+# The SQL of the four queries above names lines 1 to 12; these have the whole documents, and no SQL.
+
+
+@query("fence_lines_whole")
+def fence_lines_whole(spark, d):
+    return structure.lines(_notes(spark, d, whole=True)).select("file_id", F.col("line").cast("long").alias("line"), "body", "is_fence", "in_fence")
+
+
+@query("sections_whole")
+def sections_whole(spark, d):
+    rows = structure.sections(_notes(spark, d, whole=True))
+    return rows.select("file_id", F.col("section").cast("long").alias("section"), "level", "title", F.col("line").cast("long").alias("line"), F.col("line_end").cast("long").alias("line_end"), "body")
+
+
+@query("breadcrumbs_whole")
+def breadcrumbs_whole(spark, d):
+    return structure.sections(_notes(spark, d, whole=True)).select("file_id", F.col("section").cast("long").alias("section"), "breadcrumb")
+
+
+@query("wikilinks_whole")
+def wikilinks_whole(spark, d):
+    return structure.links(_notes(spark, d, whole=True)).withColumn("line", F.col("line").cast("long"))
 
 
 # Graph.
