@@ -19,6 +19,7 @@ from sparkquill.operators.search import DIGITS, FIELDS, zone_weight
 GRID = {"heading": (3.0, 4.0, 5.0), "meta": (1.5, 2.0, 3.0), "crumb": (1.0, 1.5, 2.0), "k1": (1.0, 1.2, 1.5), "b": (0.6, 0.75, 0.9)}
 DEPTH, PER_FILE = 5, 2
 DEFAULT_GOOD_LEAST = 10.0
+NAVIGATIONAL_HEADING = r"^(fiches liees|voir aussi)\b"
 
 
 def grid(spark: SparkSession, values: dict[str, tuple[float, ...]] = GRID) -> DataFrame:
@@ -90,3 +91,32 @@ def thresholds(hits: DataFrame) -> DataFrame:
     ratio = F.min(F.when(success & (F.col("top5") > 0), F.col("top1") / F.col("top5")))
     one = hits.agg(least.alias("good_least"), weak.alias("weak_most"), ratio.alias("r"))
     return one.select("good_least", "weak_most", S.threshold_between(F.col("good_least"), F.col("weak_most")).alias("threshold"), S.half_up(F.least(F.lit(1.5), F.coalesce(F.col("r") * 0.95, F.lit(1.5))), 2).alias("ratio"))
+
+
+def navigational_hits(results: DataFrame, sections: DataFrame) -> DataFrame:
+    """trial, q_id, navigational: how many results are sections that only lead elsewhere."""
+    headings = sections.where(T.fold(F.col("heading")).rlike(NAVIGATIONAL_HEADING)).select("file_id", "line")
+    return results.join(headings, ["file_id", "line"]).groupBy("trial", "q_id").agg(F.count("*").alias("navigational"))
+
+
+def tuned(hits: DataFrame, trials: DataFrame) -> DataFrame:
+    """Every trial with its parameters, metrics, held-out metrics, broken traps, threshold, place and whether it is recommended.
+
+    hits has, beside first_hits(), kind, held_out, trap, rank_max and navigational. Broken are: a trap
+    whose target comes after rank_max, a weak fixture that scores like good ones, a navigational result.
+    Trials that break none are placed by mrr, p@1, held-out mrr and key; the others have no place.
+    """
+    held = metrics(hits.where("kind = 'good' and held_out")).select("trial", F.col("n").alias("n_held_out"), F.col("p_at_1").alias("held_out_p_at_1"), F.col("p_at_5").alias("held_out_p_at_5"), F.col("mrr").alias("held_out_mrr"))
+    success = (F.col("kind") == "good") & F.col("rank").isNotNull()
+    weak = F.col("kind") == "weak"
+    least = hits.groupBy("trial").agg(F.coalesce(F.min(F.when(success, F.col("top1"))), F.lit(DEFAULT_GOOD_LEAST)).alias("good_least"), F.coalesce(F.max(F.when(weak, F.col("top1"))), F.lit(0.0)).alias("weak_most"))
+    late = F.col("trap") & (F.col("rank").isNull() | (F.col("rank") > F.coalesce("rank_max", F.lit(1))))
+    high = weak & (F.coalesce("top1", F.lit(0.0)) >= F.col("good_least"))
+    broken = F.coalesce(late, F.lit(False)).cast("long") + high.cast("long") + F.coalesce("navigational", F.lit(0)).cast("long")
+    traps = hits.join(least, "trial").groupBy("trial").agg(F.sum(broken).alias("traps_broken"), S.threshold_between(F.any_value("good_least"), F.any_value("weak_most")).alias("threshold"))
+    rows = trials.join(metrics(hits.where("kind = 'good'")), "trial", "left").join(held, "trial", "left").join(traps, "trial", "left")
+    key = F.concat_ws("/", *[F.regexp_replace(F.col(k).cast("string"), r"\.0$", "") for k in GRID])
+    sound = F.coalesce("traps_broken", F.lit(0)) == 0
+    order = Window.partitionBy(sound).orderBy(F.desc("mrr"), F.desc("p_at_1"), F.desc("held_out_mrr"), key)
+    placed = rows.withColumn("place", F.when(sound, F.row_number().over(order).cast("long")))
+    return placed.withColumn("recommended", F.coalesce(F.col("place") == 1, F.lit(False)))

@@ -316,7 +316,7 @@ def calibrate_threshold(spark, d):
     return evaluate.thresholds(_hits(spark, d, trials))
 
 
-#: The registered sweep has the corners of two parameters; tune() in the tests and the CLI run all 243.
+#: The sweep that has SQL: the corners of two parameters. tune_grid_full runs all 243 trials.
 _SMALL_GRID = {"heading": (3.0, 5.0), "meta": (2.0,), "crumb": (1.5,), "k1": (1.2,), "b": (0.6, 0.9)}
 
 
@@ -325,6 +325,19 @@ def tune_grid(spark, d):
     return evaluate.metrics(_hits(spark, d, evaluate.grid(spark, _SMALL_GRID)).where("kind = 'good'"))
 
 
+@query("tune_grid_full")
+def tune_grid_full(spark, d):
+    """All trials of the grid. A quarter of the fixtures is held out, a fifth of the good ones are traps; their ids say which."""
+    trials = evaluate.grid(spark)
+    fixtures, targets = _fixtures(spark, d)
+    sections = search.sections_of(table(spark, d, "documents"))
+    results = evaluate.ranked(sections, fixtures, trials)
+    lot = F.crc32(F.col("q_id").cast("string").cast("binary"))
+    marked = fixtures.select("q_id", "kind", (lot % 4 == 0).alias("held_out"), ((lot % 5 == 0) & (F.col("kind") == "good")).alias("trap"), F.lit(evaluate.DEPTH).alias("rank_max"))
+    hits = evaluate.first_hits(results, fixtures, targets, trials).join(marked, "q_id")
+    return evaluate.tuned(hits.join(evaluate.navigational_hits(results, sections), ["trial", "q_id"], "left"), trials)
+
+
 # Feedback.
 
 _EVENTS = "log AS (SELECT ts, user_id AS file, CASE event_type WHEN 'purchase' THEN 'used' ELSE 'deadend' END AS outcome, json_extract_string(props, '$.k') AS query FROM events WHERE event_type IN ('purchase', 'error'))"
