@@ -12,6 +12,7 @@ from sparkquill.functions.text import fold
 
 LAYOUT_ROUNDS, GRAVITY = 200, 0.25
 LARGEST_LAYOUT = 5000
+LARGEST_LAYOUT_EDGES = 50 * LARGEST_LAYOUT
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -83,12 +84,17 @@ def ranked_related(seen: DataFrame, node_degrees: DataFrame) -> DataFrame:
 
 
 def layout(nodes: DataFrame, edges: DataFrame, positions: DataFrame | None = None, rounds: int = LAYOUT_ROUNDS) -> DataFrame:
-    """node, x, y of a force layout. It is quadratic and for drawing: at most LARGEST_LAYOUT nodes, checked."""
+    """node, x, y of a force layout. It is quadratic and for drawing: at most LARGEST_LAYOUT nodes and LARGEST_LAYOUT_EDGES edges between them, checked."""
     names = [r[0] for r in nodes.select("node").orderBy("node").limit(LARGEST_LAYOUT + 1).collect()]
     if len(names) > LARGEST_LAYOUT:
         raise ValueError(f"a layout has at most {LARGEST_LAYOUT} nodes")
     n, at = len(names), {x: i for i, x in enumerate(names)}
-    pairs = [(at[a], at[b]) for a, b in edges.select("from_id", "to_id").distinct().limit(50 * LARGEST_LAYOUT).collect() if a in at and b in at and a != b]
+    ids = nodes.select("node").distinct()
+    inside = edges.select("from_id", "to_id").where("from_id <> to_id").join(ids.withColumnRenamed("node", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("node", "to_id"), "to_id", "left_semi")
+    ends = inside.select("from_id", "to_id").distinct().limit(LARGEST_LAYOUT_EDGES + 1).collect()
+    if len(ends) > LARGEST_LAYOUT_EDGES:
+        raise ValueError(f"a layout has at most {LARGEST_LAYOUT_EDGES} edges")
+    pairs = [(at[a], at[b]) for a, b in ends]
     spark = nodes.sparkSession
     if not n:
         return spark.createDataFrame([], "node string, x double, y double")
@@ -97,10 +103,12 @@ def layout(nodes: DataFrame, edges: DataFrame, positions: DataFrame | None = Non
     where = (area / 2 * np.sqrt(seeds[:, :1])) * np.stack([np.cos(2 * np.pi * seeds[:, 1]), np.sin(2 * np.pi * seeds[:, 1])], axis=1)
     warm = 0
     if positions is not None:
-        for r in positions.select("node", "x", "y").limit(LARGEST_LAYOUT).collect():
-            if r["node"] in at:
-                where[at[r["node"]]] = r["x"], r["y"]
-                warm += 1
+        saved = positions.select("node", "x", "y").join(ids, "node", "left_semi").limit(LARGEST_LAYOUT + 1).collect()
+        if len(saved) > LARGEST_LAYOUT:
+            raise ValueError(f"a layout has at most {LARGEST_LAYOUT} saved positions")
+        for r in saved:
+            where[at[r["node"]]] = r["x"], r["y"]
+            warm += 1
     k = np.sqrt(area * area / n)
     start = area / (40 if warm > 0.8 * n else 8)
     a, b = (np.array(x, int) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int))
