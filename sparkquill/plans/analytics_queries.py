@@ -84,6 +84,13 @@ def navigational_sections(spark, d):
     return _files(spark, d).select("file_id", structure.is_navigational(body).alias("navigational"))
 
 
+@query("navigational_sections_whole")
+def navigational_sections_whole(spark, d):
+    """The links before the whole text, which the SQL of navigational_sections cuts to 59 characters at most."""
+    body = F.concat(F.lit("[["), "source", F.lit("]] [["), "lang", F.lit("]] "), "text")
+    return _files(spark, d).select("file_id", structure.is_navigational(body).alias("navigational"))
+
+
 @query("wikilinks", f"WITH {sql.FILES} SELECT file_id, CAST(9 AS BIGINT) AS line, unnest([source, lang]) AS target, unnest([NULL, 'part']) AS anchor, unnest(['alias', NULL]) AS alias FROM files")
 def wikilinks(spark, d):
     return structure.links(_notes(spark, d)).withColumn("line", F.col("line").cast("long"))
