@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
+import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text that an operator handles at once in a worker; longer single texts form a chunk of their own.
@@ -23,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
 
-    Where the session names none (tests on one machine), a temporary folder is made and set.
+    Where the session names none and runs on one machine (tests), a temporary folder is made and set;
+    on a cluster that is an error, as executors would not see it.
     """
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="sparkquill-")
         atexit.register(shutil.rmtree, place.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", place)
@@ -57,17 +65,39 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of the batches with at most `limit` bytes of text each (or one row), and their texts."""
+_kept: dict = {}
+
+
+def kept_in_worker(key, make: Callable):
+    """The one object that a Python worker keeps between tasks. Asking for another drops it, so caches of several operators never add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release_memory() -> None:
+    """Gives freed memory of a worker back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def text_chunks(batches: Iterable[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES, keeps: bool = False) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of the batches with at most `limit` bytes of text each (or one row), and their texts, one slice listed at a time.
+
+    Unless the caller keeps an object between tasks (keeps), what an earlier operator kept is dropped.
+    """
+    if not keeps:
+        _kept.clear()
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-        begin = held = 0
-        for i, x in enumerate(texts):
-            n = len(x) if x else 0
-            if i > begin and held + n > limit:
-                yield batch.slice(begin, i - begin), texts[begin:i]
-                begin, held = i, 0
-            held += n
-        yield batch.slice(begin), texts[begin:]
+        place = batch.schema.get_field_index(text)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            before = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + limit, "right")))
+            part = batch.slice(begin, end - begin)
+            yield part, part.column(place).to_pylist()
+            begin = end
+    release_memory()

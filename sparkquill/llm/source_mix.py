@@ -1,9 +1,11 @@
 """Mixing sources to target weights with fixed-length blocks.
 
 The words of a source, its documents in order of doc_id, form one stream that is cut into blocks of
-BLOCK words (the last may be shorter). Output shards have a fixed number of slots. Each shard draws
-how many of its slots a source fills from a multinomial whose probabilities are the sources' words
-that are still to be taken, so that the draws add up to the targets exactly. A source's n-th slot
+BLOCK words (the last may be shorter). Output shards have a fixed number of slots. How many of them a
+source fills is drawn from multinomials: over all shards together the counts are the targets; a run
+of shards is halved, the left half draws its slots from the sources' slots of the whole run, none
+more than it has, and the right half keeps the rest, down to single shards. So the draws add up to
+the targets exactly, and every task finds the counts of its own shards. A source's n-th slot
 takes the block that a keyed pseudorandom permutation of its block numbers (a Feistel network) maps n
 to; each pass over the source has a permutation of its own, so no block comes a fourth time before
 all have come three times. The last slot of a source is shortened to end on the target. Slots and
@@ -14,11 +16,13 @@ weight; a target stops at CAP times the source's words, and what is over is shar
 among the others until none is above.
 
 Word counts and places come from a range partitioning of the narrow columns and one small row per
-range and source; no source is gathered anywhere, whatever its share of the rows.
+range and source; no source is gathered anywhere, whatever its share of the rows. The driver and each
+drawing task hold one row per source, the recipe: some hundred bytes each.
 
 Defined results: null and empty texts have size 0 and are taken 0 times; a null source is a source of
 its own, as is the empty one; rows that repeat a doc_id are documents of their own, ordered by a hash
-of their text; an empty table gives no row; other columns are ignored (or passed on by mixed).
+of their text and then of their other columns; an empty table gives no row; other columns are ignored
+(or passed on by mixed_documents, each row's own).
 """
 
 from __future__ import annotations
@@ -37,15 +41,15 @@ from sparkquill.llm.common import table, text_chunks, written
 WORD = r"[^\x20\x09-\x0D]+"
 _WORD = re.compile(WORD)
 BLOCK = 256
-#: Slots of an output shard at least; more where that makes over MOST_SHARDS shards, as the draws are listed on the driver.
+#: Slots of an output shard; shards that a task draws.
 SHARD_SLOTS = 4096
-MOST_SHARDS = 10_000
+SHARDS_A_TASK = 8
+#: The table of sources is broadcast up to so many of them.
+BROADCAST_SOURCES = 100_000
 SLOTS_AT_ONCE = 1 << 20
 CAP = 3
 WEIGHTS = (1, 2, 3)
 SEED = 20240101
-#: A mix is a recipe with a weight per source, which the driver holds.
-MOST_SOURCES = 100_000
 
 _MASK = (1 << 64) - 1
 
@@ -140,30 +144,34 @@ class Source:
         self.last_words = rest - before
 
 
-def draw(sources: list[Source], block: int, shard_slots: int, seed: int) -> Iterator[tuple[int, int, int, int]]:
-    """(shard, rank, first slot of the source, slots) for every shard and source that it draws."""
-    rng = np.random.default_rng(seed)
-    left = np.array([s.slots for s in sources], np.int64)
-    done, shard = np.zeros(len(sources), np.int64), 0
-    while left.sum():
-        want = int(min(shard_slots, left.sum()))
-        take = np.zeros(len(sources), np.int64)
+def draw(counts: np.ndarray, shard_slots: int, seed: int, begin: int, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, first slot of every source, slots of every source) of the shards from begin to end; counts: each source's slots."""
+    runs = [(0, -(-int(counts.sum()) // shard_slots), np.zeros(len(counts), np.int64), counts.astype(np.int64))]
+    while runs:
+        low, high, done, left = runs.pop()
+        if low >= min(high, end) or high <= begin:
+            continue
+        if high - low == 1:
+            yield low, done, left
+            continue
+        half = (low + high + 1) // 2
+        rng, take = np.random.default_rng((seed, low, high)), np.zeros(len(counts), np.int64)
+        want = (half - low) * shard_slots  # only the last shard may have fewer
         while (need := want - int(take.sum())) > 0:
-            open_slots = left - take
-            take += np.minimum(rng.multinomial(need, open_slots / open_slots.sum()), open_slots)
-        for i in np.flatnonzero(take):
-            yield shard, sources[i].rank, int(done[i]), int(take[i])
-        done, left, shard = done + take, left - take, shard + 1
+            still = left - take
+            take += np.minimum(rng.multinomial(need, still / still.sum()), still)
+        runs += [(half, high, done + take, left - take), (low, half, done, take)]
 
 
 @dataclass
 class Mix:
     """What mix() computes: tables for the documents' places, slots, and the sources."""
 
-    placed: DataFrame  # doc_id, text_hash, source, rank, size, begin (words before it in its source)
+    placed: DataFrame  # doc_id, text_hash, source, rest_hash, rank, size, begin (words before it in its source)
     slots: DataFrame  # shard, rank, turn (pass over the source), block, words
     table: DataFrame  # rank, source_size, target
     block: int
+    whole_rows: bool
 
     def pieces(self) -> DataFrame:
         """A row per taken piece of a document: doc_id, text_hash, begin_in_source, rank, shard, turn, first (word in the document), words."""
@@ -176,57 +184,68 @@ class Mix:
         return taken.where(last > first).select("doc_id", "text_hash", F.col("begin").alias("begin_in_source"), "rank", "shard", "turn", (first - F.col("begin")).alias("first"), (last - first).alias("words"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> Mix:
-    """Plans the mix of documents (doc_id, text, source)."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, whole_rows: bool = False) -> Mix:
+    """Plans the mix of documents (doc_id, text, source). With whole_rows the other columns order rows that repeat these, and only then are read."""
     spark = docs.sparkSession
+    order = ["source", "doc_id", "text_hash", "rest_hash"]
     narrow = written(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-        .repartitionByRange("source", "doc_id", "text_hash")
-        .sortWithinPartitions("source", "doc_id", "text_hash")
+        docs.select(*_row_key(docs, whole_rows), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .withColumn("part", F.spark_partition_id()),
         "sizes",
     )
     # A row per range and source: as many as ranges and sources together.
     sums = narrow.groupBy("source", "part").agg(F.sum("size").alias("words"))
     bases = sums.withColumn("base", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    totals = [(r["source"], r["n"]) for r in sums.groupBy("source").agg(F.sum("words").alias("n")).limit(MOST_SOURCES + 1).collect()]
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    totals = [(r["source"], r["n"]) for r in sums.groupBy("source").agg(F.sum("words").alias("n")).collect()]
     totals.sort(key=lambda x: (x[0] is None, x[0] or ""))  # Python orders strings by code point
     aims = targets([n for _, n in totals], [weights[i % len(weights)] for i in range(len(totals))], cap)
     sources = [Source(i, n, t) for i, ((_, n), t) in enumerate(zip(totals, aims, strict=True))]
     for s in sources:
         s.plan(block, seed)
+    few = F.broadcast if len(sources) <= BROADCAST_SOURCES else (lambda rows: rows)
     ranked = spark.createDataFrame([(i, name, s.size, s.target) for i, ((name, _), s) in enumerate(zip(totals, sources, strict=True))], "rank long, source string, source_size long, target double")
-    local = Window.partitionBy("part", "source").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    keyed = bases.join(F.broadcast(ranked), bases["source"].eqNullSafe(ranked["source"])).select(bases["source"].alias("s"), bases["part"].alias("p"), "rank", "base")
+    local = Window.partitionBy("part", "source").orderBy("doc_id", "text_hash", "rest_hash").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = bases.join(few(ranked), bases["source"].eqNullSafe(ranked["source"])).select(bases["source"].alias("s"), bases["part"].alias("p"), "rank", "base")
     within = narrow.withColumn("inside", F.coalesce(F.sum("size").over(local), F.lit(0)))
-    placed = within.join(keyed, within["source"].eqNullSafe(keyed["s"]) & (within["part"] == keyed["p"])).select("doc_id", "text_hash", "source", "rank", "size", (F.col("base") + F.col("inside")).alias("begin"))
-    return Mix(placed, _slots(spark, sources, block, shard_slots, seed), ranked.select("rank", "source_size", "target"), block)
+    placed = within.join(keyed, within["source"].eqNullSafe(keyed["s"]) & (within["part"] == keyed["p"])).select("doc_id", "text_hash", "source", "rest_hash", "rank", "size", (F.col("base") + F.col("inside")).alias("begin"))
+    return Mix(placed, _slots(spark, sources, block, shard_slots, seed), few(ranked.select("rank", "source_size", "target")), block, whole_rows)
+
+
+def _row_key(docs: DataFrame, whole_rows: bool) -> list:
+    """doc_id, text_hash, source and rest_hash (of the other columns, 0 if they do not matter)."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    other = F.xxhash64(F.to_json(F.struct(*(docs[c].alias(f"c{i}") for i, c in enumerate(rest))))) if whole_rows and rest else F.lit(0).cast("long")
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("source").cast("string").alias("source"), other.alias("rest_hash")]
 
 
 def _slots(spark: SparkSession, sources: list[Source], block: int, shard_slots: int, seed: int) -> DataFrame:
     """Every slot with the block that its source's permutation maps it to."""
-    by_rank = {s.rank: s for s in sources}
-    shard_slots = max(shard_slots, -(-sum(s.slots for s in sources) // MOST_SHARDS))
+    counts = np.array([s.slots for s in sources], np.int64)
+    recipe = spark.sparkContext.broadcast((counts, [(s.rank, s.size, s.last_words) for s in sources]))  # a row per source
+    shards = -(-int(counts.sum()) // shard_slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, of = recipe.value
         for batch in batches:
-            for shard, rank, first, n, size, slots, last_words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                blocks = -(-size // block)
-                for begin in range(first, first + n, SLOTS_AT_ONCE):
-                    slot = np.arange(begin, min(begin + SLOTS_AT_ONCE, first + n), dtype=np.int64)
-                    turn, place = slot // blocks, slot % blocks
-                    taken = np.empty(len(slot), np.int64)
-                    for t in np.unique(turn):
-                        taken[turn == t] = Permutation(blocks, _key(rank, int(t), seed))(place[turn == t])
-                    words = np.minimum(block, size - taken * block)
-                    words[slot == slots - 1] = last_words
-                    yield pa.RecordBatch.from_pydict({"shard": np.full(len(slot), shard), "rank": np.full(len(slot), rank), "turn": turn, "block": taken, "words": words})
-
-    rows = [(shard, rank, first, n, by_rank[rank].size, by_rank[rank].slots, by_rank[rank].last_words) for shard, rank, first, n in draw(sources, block, shard_slots, seed)]
-    plan = spark.createDataFrame(rows, "shard long, rank long, first long, n long, size long, slots long, last_words long")
-    return plan.repartition(max(1, min(len(rows) // 8, 4096)), "shard", "rank").mapInArrow(run, "shard long, rank long, turn long, block long, words long")
+            for task in batch.column(0).to_pylist():
+                for shard, firsts, takes in draw(counts, shard_slots, seed, task * SHARDS_A_TASK, (task + 1) * SHARDS_A_TASK):
+                    for i in np.flatnonzero(takes):
+                        rank, size, last_words = of[i]
+                        first, n, blocks = int(firsts[i]), int(takes[i]), -(-size // block)
+                        for begin in range(first, first + n, SLOTS_AT_ONCE):
+                            slot = np.arange(begin, min(begin + SLOTS_AT_ONCE, first + n), dtype=np.int64)
+                            turn, place = slot // blocks, slot % blocks
+                            taken = np.empty(len(slot), np.int64)
+                            for t in np.unique(turn):
+                                taken[turn == t] = Permutation(blocks, _key(rank, int(t), seed))(place[turn == t])
+                            words = np.minimum(block, size - taken * block)
+                            words[slot == counts[i] - 1] = last_words
+                            yield pa.RecordBatch.from_pydict({"shard": np.full(len(slot), shard), "rank": np.full(len(slot), rank), "turn": turn, "block": taken, "words": words})
+
+    tasks = -(-shards // SHARDS_A_TASK)
+    return spark.range(0, tasks, 1, max(1, min(tasks, 4096))).mapInArrow(run, "shard long, rank long, turn long, block long, words long")
 
 
 def taken(mixed: Mix) -> DataFrame:
@@ -234,21 +253,27 @@ def taken(mixed: Mix) -> DataFrame:
     words = mixed.pieces().groupBy("rank", F.col("begin_in_source").alias("begin")).agg(F.sum("words").alias("taken"))
     some = mixed.placed.where("size > 0").select("doc_id", "size", "rank", "begin").join(words, ["rank", "begin"], "left").select("doc_id", "size", "rank", F.coalesce("taken", F.lit(0)).alias("taken"))
     none = mixed.placed.where("size = 0").select("doc_id", "size", "rank", F.lit(0).cast("long").alias("taken"))
-    return some.unionByName(none).join(F.broadcast(mixed.table), "rank").select("doc_id", "size", "source_size", "target", "taken")
+    return some.unionByName(none).join(mixed.table, "rank").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, mixed: Mix) -> DataFrame:
     """The mix as documents, all columns as they were but text (and n_chars): a row per document and pass over its source that takes of it.
 
     A document that a pass takes wholly keeps its text; of others the taken ranges of words remain,
-    line by line. Rows that repeat doc_id, text and source share the other columns of one of them.
+    line by line. mixed comes from mix(docs, whole_rows=True): rows that differ in any column have
+    their own places, and rows that are equal in all are interchangeable.
     """
+    if not mixed.whole_rows:
+        raise ValueError("the mix was not planned with whole_rows=True")
     names, spans = docs.columns, "taken_spans"
     while spans in names:
         spans += "_"
-    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("source").cast("string").alias("source"))
-    rows = docs.select(key.alias("row_key"), F.struct("*").alias("row")).groupBy("row_key").agg(F.any_value("row").alias("row"))
-    named = mixed.placed.where("size > 0").select("rank", "begin", "size", F.struct("doc_id", "text_hash", "source").alias("row_key"))
+    key = ["doc_id", "text_hash", "source", "rest_hash"]
+    rows = docs.select(F.struct(*_row_key(docs, True)).alias("row_key"), F.struct("*").alias("row"))
+    placed = mixed.placed.where("size > 0")
+    if not placed.groupBy(*key).count().where("count > 1").isEmpty():
+        rows = rows.groupBy("row_key").agg(F.any_value("row").alias("row"))  # one for all equal rows, else each would take what all are due
+    named = placed.select("rank", "begin", "size", F.struct(*key).alias("row_key"))
     parts = mixed.pieces().groupBy("rank", F.col("begin_in_source").alias("begin"), "turn").agg(F.sum("words").alias("total"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias(spans))
     whole = F.when(F.col("total") == F.col("size"), F.lit(None)).otherwise(F.col(spans)).alias(spans)
     wanted = named.join(parts, ["rank", "begin"]).select("row_key", whole)

@@ -175,7 +175,6 @@ def test_token_files_round_trip(spark, planes):
 
     path = token_planes.default_tokenizer()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     docs = odd_documents(spark)
     rows = token_planes.token_files(docs, path, planes, 100).collect()
     want = {}
@@ -195,6 +194,23 @@ def test_token_files_round_trip(spark, planes):
     assert token_planes.token_files(empty_documents(spark), path).count() == 0
 
 
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_encoder_equals_the_library(special_as_text):
+    """Special tokens' strings give their ids, as in the library as loaded, or those of ordinary text."""
+    from tokenizers import Tokenizer
+
+    path = token_planes.default_tokenizer()
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = special_as_text
+    encode, rng = token_planes.UnitEncoder(path, 50, special_as_text), random.Random(3)
+    bits = ["hello", "<|endoftext|>", " ", "\n", "  ", "world,", "é", "\t", "<|end", "oftext|>", "9", "!", "\u00a0", "don't"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(10)))
+        assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    if not special_as_text:
+        assert np.frombuffer(encode("hello <|endoftext|> world"), "<u4").tolist() == [31373, 220, 50256, 995]
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 def test_planes_and_ranges(tmp_path, planes):
     from pyarrow import fs
@@ -322,7 +338,7 @@ def test_near_duplicates_of_odd_rows(spark):
     assert len(rows) == docs.count()
     assert {r["component_id"] for r in rows if r["doc_id"] in (1, 2)} == {1}
     kept = dart_minhash.deduplicated(docs)
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 5, 7, 7, 8, 9, 10] or kept.count() < docs.count()
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 5, 7, 7, 8, 9, 10]
     assert dart_minhash.near_duplicates(empty_documents(spark)).count() == 0
 
 
@@ -402,8 +418,36 @@ def test_mix_of_odd_rows(spark, block):
         sums[r["source_size"], r["target"]] = (size + r["size"], target, took + r["taken"])
     assert all(abs(took - target) <= 1 for _, target, took in sums.values())
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, source_mix.taken(source_mix.mix(docs, block=block, shard_slots=3)).collect()), key=str)
-    out = source_mix.mixed_documents(docs, mixed)
+    with pytest.raises(ValueError):
+        source_mix.mixed_documents(docs, mixed)
+    whole = source_mix.mix(docs, block=block, shard_slots=3, whole_rows=True)
+    assert sorted(map(tuple, source_mix.taken(whole).collect()), key=str) == sorted(map(tuple, rows), key=str)
+    out = source_mix.mixed_documents(docs, whole)
     assert out.columns == docs.columns
     words = sum(len(source_mix._WORD.findall(r["text"])) for r in out.collect())
     assert words == sum(r["taken"] for r in rows)
     assert source_mix.taken(source_mix.mix(empty_documents(spark))).count() == 0
+    assert source_mix.mixed_documents(empty_documents(spark), source_mix.mix(empty_documents(spark), whole_rows=True)).count() == 0
+
+
+def test_mixed_rows_keep_their_own_columns(spark):
+    """Rows that repeat doc_id, text and source: each keeps its other columns, and equal rows are not multiplied."""
+    rows = [(1, "one two three four", "s", k) for k in (10, 11, 12)] + [(2, "five six", "s", 20)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").withColumn("mark", F.col("n_chars") * 7)
+    out = source_mix.mixed_documents(docs, source_mix.mix(docs, block=2, whole_rows=True)).collect()
+    assert sorted((r["doc_id"], r["text"], r["mark"]) for r in out) == [(1, "one two three four", 70), (1, "one two three four", 77), (1, "one two three four", 84)] + [(2, "five six", 140)] * 3
+
+
+@pytest.mark.parametrize("shard_slots", [1, 3, 4096])
+def test_draws_add_up_and_tasks_agree(shard_slots):
+    counts = np.array([500, 0, 7, 40])
+    shards = -(-int(counts.sum()) // shard_slots)
+    whole = list(source_mix.draw(counts, shard_slots, 5, 0, shards))
+    assert [s for s, _, _ in whole] == list(range(shards))
+    assert (sum(n for _, _, n in whole) == counts).all()
+    done = np.zeros(4, np.int64)
+    for _, first, n in whole:
+        assert (first == done).all() and n.sum() == min(shard_slots, counts.sum() - done.sum())
+        done = done + n
+    parts = [x for k in range(0, shards, 8) for x in source_mix.draw(counts, shard_slots, 5, k, k + 8)]
+    assert all(a == x and (b == y).all() and (c == z).all() for (a, b, c), (x, y, z) in zip(whole, parts, strict=True))
