@@ -9,6 +9,12 @@ Parquet to the shared folder and read again. All stages but the last return the
 4. mixing: words are drawn from the sources towards the target weights; a document comes once for
    each pass over its source that takes of it, with the words that were taken.
 5. token_planes: ids in bit-plane files; returns per row doc_id, start, n_tokens, ids_crc32.
+
+Defined results: null and empty texts are scored like any other, are no near copies, hold no window
+and are taken no words of, so they end with mixing; a null lang has the threshold 0.5; a null source
+is a source of its own; a null doc_id is never the smallest of a group and comes first in the token
+files. Of rows that repeat doc_id and text one stays (near_dedup). An empty table gives an empty
+table of the same columns. Extra columns, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return source_mix.mixed_documents(docs, source_mix.mix(docs))
+    return source_mix.mixed_documents(docs, source_mix.mix(docs, whole_rows=True))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
