@@ -6,9 +6,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Longest text that goes into a training sample; scoring has no such limit.
-LONGEST_TRAINED = 200_000
-
 
 def fold(column: str, folds: int):
     """crc32 of a column's text form, modulo folds."""
@@ -18,8 +15,9 @@ def fold(column: str, folds: int):
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, by: str | None = None) -> tuple[list[tuple], dict[int, int]]:
     """At most `rows` (label, lang, text) of labelled documents outside the held-out fold, half of each class, and each class's share of all rows.
 
-    The rows with the smallest hash of doc_id are taken, so the sample is the same in every run. Null
-    doc_ids, labels and texts are left out; of rows that repeat a doc_id the smallest text is taken.
+    The rows with the smallest hash of doc_id are taken, so the sample is the same in every run; their
+    texts are whole, whatever their length. Null doc_ids, labels and texts are left out; of rows that
+    repeat a doc_id the smallest text is taken.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold("doc_id", folds) != held_out)).select("doc_id", F.col(label).cast("int").alias("label"))
     counts = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -29,7 +27,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
         picked = half if picked is None else picked.unionByName(half)
     picked = picked.dropDuplicates(["doc_id"])
     lang = F.min(F.coalesce(F.col(by).cast("string"), F.lit(""))) if by else F.lit("")
-    texts = docs.where(F.length("text") <= LONGEST_TRAINED).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), lang.alias("lang"), F.min("text").alias("text"))
+    texts = docs.where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), lang.alias("lang"), F.min("text").alias("text"))
     found = sorted((r["doc_id"], r["label"], r["lang"], r["text"]) for r in texts.collect())
     return [x[1:] for x in found], counts
 
