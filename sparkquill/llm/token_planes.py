@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkquill.llm.common import new_folder, open_store, table, text_chunks, written
+from sparkquill.llm.common import kept_in_worker, new_folder, open_store, table, text_chunks, written
 
 MAGIC = b"SQPLANE1"
 CHUNK_IDS = 1 << 16
 END_ID = 0
 #: Encoded units in a generation of a worker's cache (about 0.2 KB each); two generations are kept, the older one goes when the newer is full.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 200_000
 LONGEST_CACHED = 64
 #: Letters below this code point (Latin, Greek, Cyrillic) are letters in every Unicode version in use.
 LETTERS_BELOW = 0x500
@@ -58,15 +58,19 @@ class UnitEncoder:
 
     The byte-level pre-tokenizer always breaks before a single space, and before and after a single
     line end, that stand between two characters which are no white space. So a text may be cut there
-    and the ids of the units joined; texts with other white space are cut only at such spaces.
+    and the ids of the units joined; texts with other white space are cut only at such spaces. Special
+    tokens hold no white space, so none is cut: as the library does by itself, their strings in a text
+    give their ids, or with special_as_text those of ordinary text.
     """
 
-    def __init__(self, path: str, cache_units: int = CACHE_UNITS):
+    def __init__(self, path: str, cache_units: int = CACHE_UNITS, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        if any(c.isspace() for t in self.tokenizer.get_added_tokens_decoder().values() for c in t.content):
+            raise ValueError("a special token with white space")
         model, alphabet = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         printable = {c: alphabet.pre_tokenize_str(chr(c))[0][0] for c in [32, *range(LETTERS_BELOW)] if c == 32 or chr(c).isalpha()}
         encode = self.encode
@@ -117,14 +121,9 @@ class UnitEncoder:
             return self.any_first[first] + b"".join(map(self.any_later.__getitem__, rest))
 
 
-_encoders: dict[str, UnitEncoder] = {}
-
-
-def encoder(path: str) -> UnitEncoder:
+def encoder(path: str, special_as_text: bool = False) -> UnitEncoder:
     """The worker's encoder for a tokenizer file, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = UnitEncoder(path)
-    return _encoders[path]
+    return kept_in_worker(("encoder", path, special_as_text), lambda: UnitEncoder(path, special_as_text=special_as_text))
 
 
 def split_planes(ids: np.ndarray, planes: str) -> list[bytes]:
@@ -249,7 +248,7 @@ class ShardReader:
             at += n
 
 
-def write_shards(docs: DataFrame, path: str, folder: str, planes: str = "byte", chunk_ids: int = CHUNK_IDS) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, folder: str, planes: str = "byte", chunk_ids: int = CHUNK_IDS, special_as_text: bool = False) -> DataFrame:
     """Writes the documents' ids to folder and returns a row per shard: shard, file, n_docs, n_ids.
 
     A task writes under a name of its own and renames at the end, so a task that runs again replaces
@@ -261,9 +260,9 @@ def write_shards(docs: DataFrame, path: str, folder: str, planes: str = "byte",
 
         context = TaskContext.get()
         store, place = open_store(folder)
-        encode, end = encoder(path), int(END_ID).to_bytes(4, "little")
+        encode, end = encoder(path, special_as_text), int(END_ID).to_bytes(4, "little")
         shard, writer, part = context.partitionId(), None, ""
-        for chunk, texts in text_chunks(batches, "text"):
+        for chunk, texts in text_chunks(batches, "text", keeps=True):
             if writer is None:
                 store.create_dir(place, recursive=True)
                 part = f"{place}/.attempt-{context.taskAttemptId()}"
@@ -281,7 +280,8 @@ def write_shards(docs: DataFrame, path: str, folder: str, planes: str = "byte",
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "file": [name.rsplit("/", 1)[1]], "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_ids": pa.array([writer.total], pa.int64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # Rows that repeat a doc_id may lie in several ranges, in the same order.
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return written(ordered.mapInArrow(run, "shard long, file string, n_docs long, n_ids long"), "planes-index")
 
 
@@ -312,10 +312,10 @@ def read_shards(index: DataFrame, folder: str) -> DataFrame:
     return based.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_files(docs: DataFrame, path: str, planes: str = "byte", chunk_ids: int = CHUNK_IDS, folder: str | None = None) -> DataFrame:
+def token_files(docs: DataFrame, path: str, planes: str = "byte", chunk_ids: int = CHUNK_IDS, folder: str | None = None, special_as_text: bool = False) -> DataFrame:
     """Writes the documents' token ids as plane files and returns what the files hold (see read_shards)."""
     folder = folder or new_folder(docs.sparkSession, "planes")
-    return read_shards(write_shards(docs, path, folder, planes, chunk_ids), folder)
+    return read_shards(write_shards(docs, path, folder, planes, chunk_ids, special_as_text), folder)
 
 
 def default_tokenizer() -> str:
