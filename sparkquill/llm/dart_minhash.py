@@ -13,9 +13,11 @@ First every class of a bucket is compared with one of them, the hub, and the lin
 components. A bucket of three or more that then still has several components is compared whole: its
 members are cut into tiles of TILE, each pair of tiles is a group, and the sizes of all intersections
 in a group come from one product of its incidence matrix. A group reports an edge per member at most,
-never pairs. So every pair of a bucket is linked, joined otherwise or compared, and no candidate is
-dropped. In the first step one bit of each coordinate rules out pairs whose agreement makes the wanted
-similarity most unlikely (under one in a million); all else is checked exactly.
+never pairs. So every pair of a bucket is joined by links or compared exactly, and no candidate is
+dropped; a similar pair is missed only if no band agrees, at similarity 0.8 one of 20 000.
+
+A class's node begins with its first row (doc_id, hash of the text), ordered as these are: the root
+of a component names the row that stays, and nothing is gathered by component.
 
 Defined results: null texts and texts without words link with nothing and are kept; rows with a null
 doc_id take part, and a group's component_id is its smallest doc_id that is not null; rows that
@@ -36,14 +38,12 @@ from pyspark.sql import functions as F
 
 from sparkquill.llm.common import table, text_chunks, written
 from sparkquill.llm.fm_decontaminate import words_of
-from sparkquill.llm.graph_components import components
+from sparkquill.llm.graph_components import components, long_of, ordered_bytes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 K = BANDS * ROWS
-#: At similarity 0.8 a bit of 125 differs with probability 0.1; more than 31 differ in under one of a million pairs.
-MOST_BITS = 31
 #: Members of a bucket in a tile; columns of the incidence matrix at once.
 TILE = 300
 COLUMNS = 4096
@@ -123,14 +123,6 @@ def bands_of(signatures: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def bits_of(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lowest bit of every coordinate, in two 64-bit words."""
-    bits = np.zeros((len(signatures), 128), np.uint8)
-    bits[:, :K] = signatures & 1
-    both = np.packbits(bits, axis=1).view(np.int64)
-    return both[:, 0], both[:, 1]
-
-
 def _weights(counts: np.ndarray, weights: str) -> np.ndarray:
     if weights not in ("set", "count"):
         raise ValueError(f"weights is set or count, not {weights}")
@@ -160,33 +152,32 @@ def _sets(texts: list[str | None], weights: str) -> tuple[tuple, list[np.ndarray
     return found, parts, [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in parts]
 
 
-def signatures(docs: DataFrame, weights: str = "set") -> DataFrame:
-    """Per document, without a shuffle: doc_id, text_hash, key (of its element set), bands, low, high."""
+def signatures(docs: DataFrame, weights: str = "count") -> DataFrame:
+    """Per document, without a shuffle: doc_id, text_hash, key (of its element set), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, texts in _pieces(batches):
             (owner, element, counts), _, keys = _sets(texts, weights)
             got = darts(owner, mix(element + _M1), _weights(counts, weights), len(texts))
-            low, high = bits_of(got)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(bands_of(got).ravel()))
-            yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(1), pa.array(keys, pa.binary()), bands, pa.array(low), pa.array(high)], names=["doc_id", "text_hash", "key", "bands", "low", "high"])
+            yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(1), pa.array(keys, pa.binary()), bands], names=["doc_id", "text_hash", "key", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, key binary, bands array<long>, low long, high long")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, key binary, bands array<long>")
 
 
-def _element_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, weights: str) -> DataFrame:
-    """key and elements (sorted uint64, as bytes) of the classes in keys, from the text of each one's first document."""
+def _element_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, weights: str) -> DataFrame:
+    """node and elements (sorted uint64, as bytes) of the classes in nodes, from the text of each one's first document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, texts in _pieces(batches):
             _, parts, _ = _sets(texts, weights)
-            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array([x.tobytes() for x in parts], pa.binary())], names=["key", "elements"])
+            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array([x.tobytes() for x in parts], pa.binary())], names=["node", "elements"])
 
-    wanted = classes.join(keys, "key", "left_semi").select("key", F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h"))
+    wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     # A repeated row gives its class twice here, and then an edge twice; edges are made distinct.
-    return rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["d"]) & (rows["text_hash"] == wanted["h"])).select("key", "text").mapInArrow(run, "key binary, elements binary")
+    return rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["d"]) & (rows["text_hash"] == wanted["h"])).select("node", "text").mapInArrow(run, "node binary, elements binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -206,8 +197,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 good.append(shared >= similarity * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    with_b = pairs.join(sets.select(F.col("key").alias("b"), F.col("elements").alias("of_b")), "b")
-    with_both = with_b.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("of_a")), "a")
+    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("of_b")), "b")
+    with_both = with_b.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("of_a")), "a")
     return with_both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a binary, b binary")
 
 
@@ -241,11 +232,11 @@ def _tile_edges(elements: list[np.ndarray], left: np.ndarray, inside: bool, simi
 
 
 def _tiled(apart: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) that join what is similar within each bucket of apart (bucket, key, root); sizes: bucket, n."""
+    """Edges (a, b) that join what is similar within each bucket of apart (bucket, node, root); sizes: bucket, n."""
     tiles = F.ceil(F.col("n") / TILE).cast("int")
-    own = apart.join(sizes, "bucket").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("bucket", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "key", "root")
-    rows = dealt.join(sets, "key").select("bucket", "p", "q", "tile", "key", "root", "elements")
+    own = apart.join(sizes, "bucket").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("bucket", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "node", "root")
+    rows = dealt.join(sets, "node").select("bucket", "p", "q", "tile", "node", "root", "elements")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
@@ -275,26 +266,36 @@ def _small(held: DataFrame) -> DataFrame:
     return F.broadcast(held) if held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else held
 
 
-def _bits_differ(x: str, y: str):
-    return F.bit_count(F.col(f"{x}.low").bitwiseXOR(F.col(f"{y}.low"))) + F.bit_count(F.col(f"{x}.high").bitwiseXOR(F.col(f"{y}.high")))
+def _node(first: str, key: str):
+    """First row and key of a class as bytes, ordered by whether a doc_id is there, doc_id and hash of the text."""
+    doc = F.coalesce(F.col(f"{first}.doc_id"), F.lit(0).cast("long"))
+    return F.concat(F.unhex(F.when(F.col(f"{first}.none"), "01").otherwise("00")), ordered_bytes(doc), ordered_bytes(F.col(f"{first}.text_hash")), F.col(key))
+
+
+def _first(node: str):
+    """The row (doc_id, text_hash) that a node names."""
+    doc = F.when(F.hex(F.substring(node, 1, 1)) == "00", long_of(F.substring(node, 2, 8)))
+    return F.struct(doc.alias("doc_id"), long_of(F.substring(node, 10, 8)).alias("text_hash"))
+
 
+def near_duplicates(docs: DataFrame, weights: str = "count", similarity: float = SIMILARITY) -> DataFrame:
+    """A row per document: doc_id, text_hash, has_words, class_id, component_id (smallest doc_id of its group), first (the row of the group that stays: doc_id, text_hash).
 
-def near_duplicates(docs: DataFrame, weights: str = "set", similarity: float = SIMILARITY) -> DataFrame:
-    """A row per document: doc_id, text_hash, component_id (smallest doc_id of its group), first (the row of the group that stays: doc_id, text_hash)."""
+    weights: "count" weighs a shingle with its occurrences, "set" with 1.
+    """
     signed = written(signatures(docs, weights), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    classes = written(signed.where("key is not null").groupBy("key").agg(first, F.any_value("bands").alias("bands"), F.any_value("low").alias("low"), F.any_value("high").alias("high")), "classes")
-    members = classes.select(F.explode("bands").alias("bucket"), F.struct("key", "low", "high").alias("x"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    classes = signed.where("key is not null").groupBy("key").agg(first, F.any_value("bands").alias("bands"))
+    classes = written(classes.withColumn("node", _node("first", "key")), "classes")
+    members = classes.select(F.explode("bands").alias("bucket"), "node")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("order"), "node"))["node"].alias("hub")).where("n > 1").select("bucket", "hub")
     crowded = written(members.join(shared, "bucket"), "buckets")
-    sets = written(_element_sets(docs, classes, crowded.select("x.key").distinct(), weights), "elements")
-    hubs = crowded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("x.key").alias("order"), "x")).alias("hub"))
-    near = (F.col("x.key") != F.col("hub.x.key")) & (_bits_differ("x", "hub.x") <= MOST_BITS)
-    pairs = crowded.join(hubs, "bucket").where(near).select(F.col("hub.x.key").alias("a"), F.col("x.key").alias("b")).distinct()
+    sets = written(_element_sets(docs, classes, crowded.select("node").distinct(), weights), "elements")
+    pairs = crowded.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     roots = written(components(_verified(pairs, sets, similarity)), "roots")
 
     # A bucket of two is done by now.
-    rooted = crowded.select("bucket", F.col("x.key").alias("node")).join(_small(roots), "node", "left").select("bucket", F.col("node").alias("key"), F.coalesce("root", "node").alias("root"))
+    rooted = crowded.select("bucket", "node").join(_small(roots), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("n > 2 and least <> most").select("bucket", "n")
     mixed = written(mixed, "mixed")
     if not mixed.isEmpty():
@@ -302,24 +303,33 @@ def near_duplicates(docs: DataFrame, weights: str = "set", similarity: float = S
         more = _tiled(rooted, sizes, sets, similarity)
         roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
 
-    roots = _small(roots)
-    rooted = classes.select("key", "first").join(roots, classes["key"] == roots["node"], "left").select("key", "first", F.coalesce("root", "key").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    by_key = rooted.select("key", "root").join(smallest, "root").select("key", "first")
-    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    joined = signed.select("doc_id", "text_hash", "key").join(by_key, "key", "left").select("doc_id", "text_hash", "key", F.coalesce("first", own).alias("first"))
-    return joined.select("doc_id", "text_hash", F.col("key").isNotNull().alias("has_words"), F.hex("key").alias("class_id"), F.col("first.doc_id").alias("component_id"), F.struct("first.doc_id", "first.text_hash").alias("first"))
+    by_key = classes.select("key", "node").join(_small(roots), "node", "left").select("key", _first_of_root())
+    joined = signed.select("doc_id", "text_hash", "key").join(by_key, "key", "left")
+    groups = joined.select("doc_id", "text_hash", "key", F.coalesce("first", F.struct("doc_id", "text_hash")).alias("first"))
+    return groups.select("doc_id", "text_hash", F.col("key").isNotNull().alias("has_words"), F.hex("key").alias("class_id"), F.col("first.doc_id").alias("component_id"), "first")
+
+
+def _first_of_root():
+    return F.struct(*(F.coalesce(_first("root")[c], _first("node")[c]).alias(c) for c in ("doc_id", "text_hash"))).alias("first")
 
 
-def deduplicated(docs: DataFrame, weights: str = "set", similarity: float = SIMILARITY) -> DataFrame:
-    """The documents, all columns as they were, one of each group: that with the smallest doc_id."""
-    groups = near_duplicates(docs, weights, similarity)
-    stays = groups.where((F.struct("doc_id", "text_hash").eqNullSafe(F.col("first"))) | ~F.col("has_words")).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "has_words").distinct()
-    mark = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
-    rows = mark.join(stays, mark["doc_id"].eqNullSafe(stays["d"]) & (mark["text_hash"] == stays["h"]))
-    # A row that is repeated exactly is in its group twice.
-    once = rows.where("has_words").groupBy("doc_id", "text_hash").agg(F.any_value("row").alias("row"))
-    return once.select("row.*").unionByName(rows.where(~F.col("has_words")).select("row.*"))
+def deduplicated(docs: DataFrame, weights: str = "count", similarity: float = SIMILARITY) -> DataFrame:
+    """The documents, all columns as they were, one of each group: that with the smallest doc_id.
+
+    Of rows that repeat doc_id and text the one with the smallest hash of the whole row stays. Rows without words all stay.
+    """
+    groups = written(near_duplicates(docs, weights, similarity), "groups")
+    stays = groups.where(F.col("has_words") & F.struct("doc_id", "text_hash").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
+    repeated = not stays.groupBy("d", "h").count().where("count > 1").isEmpty()
+    wordless = groups.where(~F.col("has_words")).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    same = lambda other: rows["doc_id"].eqNullSafe(other["d"]) & (rows["text_hash"] == other["h"])
+    if not repeated:
+        kept = stays.unionByName(wordless.distinct())
+        return rows.join(kept, same(kept)).select("row.*")
+    stays, wordless = stays.distinct(), wordless.distinct()
+    once = rows.join(stays, same(stays)).groupBy("doc_id", "text_hash").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return once.select("row.*").unionByName(rows.join(wordless, same(wordless)).select("row.*"))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,7 +339,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "class_id", "component_id", kept.alias("kept"))
 
 
-def brute_force(texts: list[str | None], weights: str = "set", similarity: float = SIMILARITY) -> list[int]:
+def brute_force(texts: list[str | None], weights: str = "count", similarity: float = SIMILARITY) -> list[int]:
     """For each text the number of its group's first text, by comparing all pairs (for tests)."""
     from collections import Counter
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkquill.llm.common import written
@@ -19,6 +19,16 @@ MOST_ROUNDS = 60
 ONE_TASK = 200_000
 
 
+def ordered_bytes(number: Column) -> Column:
+    """Eight bytes of a long, ordered as the numbers are."""
+    return F.unhex(F.lpad(F.hex(number.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+
+
+def long_of(data: Column) -> Column:
+    """The long of ordered_bytes."""
+    return F.conv(F.hex(data), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+
+
 def _distinct(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").distinct()
 
