@@ -14,7 +14,8 @@ Vectors of a label that are equal component for component are one class; classes
 their sizes. A filter's members are cut into tiles of TILE rows and every pair of tiles is a group of
 its own, so no task holds a whole hot filter. A group reports per class how many vectors it links to
 (a pair counts in the smallest filter that both share) and one edge per class to the smallest class of
-its linked part, never pairs.
+its linked part, never pairs. A class's node begins with its smallest vec_id, so the root of a
+component names the component, and nothing is gathered by component.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
 components, and rows with a null label, link with nothing; a null vec_id forms no group of its own;
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquill.llm.common import table, written
-from sparkquill.llm.graph_components import components
+from sparkquill.llm.graph_components import components, long_of, ordered_bytes
 
 COSINE = 0.98
 CAPTURES = 24
@@ -112,7 +113,7 @@ def _classes(good: DataFrame) -> DataFrame:
 
 
 def _captured(classes: DataFrame, code: CapFilters, dim: int, exact: int) -> DataFrame:
-    """A row per class and filter: label, filter, key, vector, n, all (the class's filters, ascending)."""
+    """A row per class and filter: label, filter, node, vector, n, all (the class's filters, ascending)."""
     shared = classes.sparkSession.sparkContext.broadcast(code)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,13 +126,13 @@ def _captured(classes: DataFrame, code: CapFilters, dim: int, exact: int) -> Dat
                 unit = np.frombuffer(b"".join(batch.column(2).take(pa.array(part)).to_pylist()), "<f8").reshape(-1, dim)
                 for i, filters in zip(part, shared.value.decode(unit / np.linalg.norm(unit, axis=1, keepdims=True)), strict=True):
                     lists[i] = filters
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(lists, pa.list_(pa.int64()))], names=["label", "key", "vector", "n", "filters"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(lists, pa.list_(pa.int64()))], names=["label", "node", "vector", "n", "filters"])
 
     usual = classes.where(F.octet_length("vector") == 8 * dim)
     large = usual.groupBy("label").agg(F.count("*").alias("c")).where(F.col("c") > exact).select("label", F.lit(True).alias("large"))
-    sized = usual.join(F.broadcast(large), "label", "left").select("label", "key", "vector", "n", F.coalesce("large", F.lit(False)).alias("large"))
-    listed = sized.mapInArrow(run, "label string, key binary, vector binary, n long, filters array<long>")
-    return listed.select("label", F.explode("filters").alias("filter"), "key", "vector", "n", F.col("filters").alias("all"))
+    sized = usual.join(F.broadcast(large), "label", "left").select("label", "node", "vector", "n", F.coalesce("large", F.lit(False)).alias("large"))
+    listed = sized.mapInArrow(run, "label string, node binary, vector binary, n long, filters array<long>")
+    return listed.select("label", F.explode("filters").alias("filter"), "node", "vector", "n", F.col("filters").alias("all"))
 
 
 def _tile(keys: list[bytes], left: np.ndarray, unit: np.ndarray, n: np.ndarray, lists: list[np.ndarray], own: int, inside: bool, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -167,12 +168,12 @@ def _tile(keys: list[bytes], left: np.ndarray, unit: np.ndarray, n: np.ndarray,
 
 
 def _compared(captured: DataFrame, dim: int, cosine: float) -> DataFrame:
-    """Per group and class with links: key, links, root (a class of the same component)."""
+    """Per group and class with links: node, links, root (a class of the same component)."""
     counts = captured.groupBy("label", "filter").agg(F.count("*").alias("m")).where("m > 1")
     sized = captured.join(counts, ["label", "filter"]).withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
-    own = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     tiled = sized.withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = tiled.select("label", "filter", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "key", "vector", "n", "all")
+    rows = tiled.select("label", "filter", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "node", "vector", "n", "all")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -190,7 +191,7 @@ def _compared(captured: DataFrame, dim: int, cosine: float) -> DataFrame:
             keys = [keys[i] for i in order]
             links, root = _tile(keys, left[order], unit[order], np.array([held[i][3] for i in order]), lists, group[1], group[2] == group[3], cosine)
             some = np.flatnonzero((links > 0) | (root != np.arange(len(keys))))
-            return pa.RecordBatch.from_pydict({"key": pa.array([keys[i] for i in some], pa.binary()), "links": pa.array(links[some]), "root": pa.array([keys[root[i]] for i in some], pa.binary())})
+            return pa.RecordBatch.from_pydict({"node": pa.array([keys[i] for i in some], pa.binary()), "links": pa.array(links[some]), "root": pa.array([keys[root[i]] for i in some], pa.binary())})
 
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
@@ -204,13 +205,16 @@ def _compared(captured: DataFrame, dim: int, cosine: float) -> DataFrame:
             yield out
 
     dealt = rows.repartition("label", "filter", "p", "q").sortWithinPartitions("label", "filter", "p", "q")
-    return dealt.mapInArrow(run, "key binary, links long, root binary")
+    return dealt.mapInArrow(run, "node binary, links long, root binary")
 
 
 def linked(vectors: DataFrame, cosine: float = COSINE, captures: int = CAPTURES) -> DataFrame:
     """A row per vector: vec_id, n_links, component_id (smallest vec_id reachable)."""
     keyed = written(_classes(_split(vectors, True)), "vectors")
-    classes = written(keyed.groupBy("key").agg(F.any_value("label").alias("label"), F.any_value("vector").alias("vector"), F.count("*").alias("n"), F.min("vec_id").alias("first")), "vector-classes")
+    classes = keyed.groupBy("key").agg(F.any_value("label").alias("label"), F.any_value("vector").alias("vector"), F.count("*").alias("n"), F.min("vec_id").alias("first"))
+    no_id = F.when(F.col("first").isNull(), "01").otherwise("00")
+    node = F.concat(F.unhex(no_id), ordered_bytes(F.coalesce("first", F.lit(0).cast("long"))), "key").alias("node")
+    classes = written(classes.select("key", node, "label", "vector", "n", "first"), "vector-classes")
     usual = classes.groupBy(F.octet_length("vector").alias("bytes")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "bytes").first()
     rest = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
     if usual is None:
@@ -219,11 +223,11 @@ def linked(vectors: DataFrame, cosine: float = COSINE, captures: int = CAPTURES)
     largest = classes.groupBy("label").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0]
     code = CapFilters.build(dim, largest, captures)
     found = written(_compared(_captured(classes, code, dim, EXACT), dim, cosine), "found")
-    links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
-    whole = classes.select("key", "n", "first").join(links, "key", "left").join(roots, "key", "left").select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "first", F.coalesce("root", "key").alias("root"))
-    smallest = whole.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_key = whole.join(smallest, "root").select("key", "n_links", "component_id")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    smallest = F.when(F.col("root").isNull(), F.col("first")).when(F.hex(F.substring("root", 1, 1)) == "00", long_of(F.substring("root", 2, 8)))
+    whole = classes.select("key", "node", "n", "first").join(links, "node", "left").join(roots, "node", "left")
+    by_key = whole.select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), smallest.alias("component_id"))
     in_classes = keyed.select("vec_id", "key").join(by_key, "key").select("vec_id", "n_links", "component_id")
     alone = _split(vectors, False).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return in_classes.unionByName(alone)
