@@ -90,10 +90,15 @@ def _gzip(data: bytes) -> bytes:
 
 
 def with_responses(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, first (smallest page_id with that payload)."""
+    """page_id, url, html, first (smallest page_id with that payload).
+
+    Only payloads that several rows have are joined, and their table is written first: so adaptive
+    execution sees both sides of the join and splits a payload that very many pages share.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("payload", F.concat_ws("-", F.sha1("html"), F.octet_length("html")))
-    firsts = rows.groupBy("payload").agg(F.min("page_id").alias("first"))
-    return rows.join(firsts, "payload").select("page_id", "url", "html", "first")
+    firsts = written(rows.groupBy("payload").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload", "first", F.lit(True).alias("shared")), "payloads")
+    first = F.when(F.col("shared"), F.col("first")).otherwise(F.col("page_id"))
+    return rows.join(firsts, "payload", "left").select("page_id", "url", "html", first.alias("first"))
 
 
 def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
