@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from sparkquill.functions import scalars as S
 from sparkquill.functions import text as T
-from sparkquill.operators.search import DIGITS, FIELDS, zone_weight
+from sparkquill.operators.search import DIGITS, FIELDS, Index, zone_weight
 
 # The sweep's grid and the evaluation's depth.
 GRID = {"heading": (3.0, 4.0, 5.0), "meta": (1.5, 2.0, 3.0), "crumb": (1.0, 1.5, 2.0), "k1": (1.0, 1.2, 1.5), "b": (0.6, 0.75, 0.9)}
 DEPTH, PER_FILE = 5, 2
+#: Words of a passage that are joined to find the documents that hold it.
+ANCHOR = 5
 DEFAULT_GOOD_LEAST = 10.0
 NAVIGATIONAL_HEADING = r"^(fiches liees|voir aussi)\b"
 
@@ -28,27 +30,15 @@ def grid(spark: SparkSession, values: dict[str, tuple[float, ...]] = GRID) -> Da
     return spark.createDataFrame(rows, "trial int, " + ", ".join(f"{k} double" for k in values))
 
 
-def field_counts(sections: DataFrame) -> DataFrame:
-    """file_id, zone, line, the tokens of each field, and field sizes: what a sweep needs of the corpus, computed once."""
-    return sections.select("file_id", "zone", "line", *[T.tokens(F.col(f)).alias(f"t_{f}") for f in FIELDS]).select("*", *[F.size(f"t_{f}").cast("double").alias(f"n_{f}") for f in FIELDS])
+def ranked(index: Index, fixtures: DataFrame, trials: DataFrame | None = None) -> DataFrame:
+    """trial, q_id, file_id, line, score, rank (up to DEPTH) of every fixture (q_id, query) under every trial.
 
-
-def ranked(sections: DataFrame, fixtures: DataFrame, trials: DataFrame | None = None) -> DataFrame:
-    """trial, q_id, file_id, line, score, rank (up to DEPTH) of every fixture (q_id, query) under every trial."""
-    spark = sections.sparkSession
-    trials = trials if trials is not None else grid(spark, {"heading": (FIELDS["heading"],), "meta": (FIELDS["meta"],), "crumb": (FIELDS["crumb"],), "k1": (S.K1,), "b": (S.B,)})
-    counts = field_counts(sections)
+    The index counts tokens by field, so no trial needs another one. Postings are joined to the fixtures' terms.
+    """
+    trials = trials if trials is not None else grid(index.postings.sparkSession, {"heading": (FIELDS["heading"],), "meta": (FIELDS["meta"],), "crumb": (FIELDS["crumb"],), "k1": (S.K1,), "b": (S.B,)})
     terms = fixtures.select("q_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
-    sizes = counts.agg(F.count("*").cast("double").alias("n_docs"), *[F.avg(f"n_{f}").alias(f"a_{f}") for f in FIELDS])
-
-
-    def of_field(f: str) -> Column:
-        return F.transform(f"t_{f}", lambda x: F.struct(x.alias("term"), F.lit(f).alias("field")))
-
-    tokens = F.concat(*map(of_field, FIELDS))
-    rows = counts.select("file_id", "zone", "line", *[f"n_{f}" for f in FIELDS], F.explode(tokens).alias("t"))
-    wanted = rows.join(terms.select("term").distinct().withColumnRenamed("term", "w"), F.col("t.term") == F.col("w"), "left_semi")
-    tf = wanted.groupBy("file_id", "zone", "line", *[f"n_{f}" for f in FIELDS], F.col("t.term").alias("term")).agg(*[F.count_if(F.col("t.field") == f).cast("double").alias(f"f_{f}") for f in FIELDS])
+    sizes = index.meta.select(F.col("n_docs").cast("double").alias("n_docs"), *[f"a_{f}" for f in FIELDS])
+    tf = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
     df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     parts = tf.join(df, "term").join(terms, "term").crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(trials))
 
@@ -66,6 +56,31 @@ def ranked(sections: DataFrame, fixtures: DataFrame, trials: DataFrame | None =
     return few.withColumn("rank", F.row_number().over(per_query)).where(F.col("rank") <= DEPTH)
 
 
+def holding(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str) -> DataFrame:
+    """item, key of the documents whose text contains a passage; words are parted by single spaces in both.
+
+    Up to ANCHOR words from inside a passage, which are whole words wherever it occurs, are joined to all
+    word windows of that size; only such candidates are compared. Passages of one or two words have none inside
+    and are looked for by their own windows of characters.
+    """
+    words = F.split(passage, " ")
+    size = F.least(F.size(words) - 2, F.lit(ANCHOR))
+    sized = items.select(item, passage, size.alias("size"), F.xxhash64(F.array_join(F.slice(words, 2, F.greatest(size, F.lit(1))), " ")).alias("anchor"))
+    out = None
+    for n in [r["size"] for r in sized.where("size > 0").select("size").distinct().collect()]:  # ANCHOR values at most
+        own = F.split(text, " ")
+        windows = docs.withColumn("own", own).where(F.size("own") >= n).select(key, text, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("own") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("own", i, F.lit(n)), " "))))).alias("anchor"))
+        hits = windows.join(sized.where(F.col("size") == n).select(item, passage, "anchor"), "anchor").where(F.col(text).contains(F.col(passage))).select(item, key)
+        out = hits if out is None else out.unionByName(hits)
+    short = sized.where("size <= 0").select(item, passage)
+    lengths = [r["n"] for r in short.select(F.length(passage).alias("n")).distinct().collect()]
+    for n in lengths:
+        windows = docs.where(F.length(text) >= n).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(F.col(text), i, F.lit(n))))).alias(passage)) if n else docs.where(F.col(text).isNotNull()).select(key, F.lit("").alias(passage))
+        hits = windows.join(short, passage).select(item, key)
+        out = hits if out is None else out.unionByName(hits)
+    return out.distinct() if out is not None else items.limit(0).select(item).crossJoin(docs.limit(0).select(key))
+
+
 def first_hits(results: DataFrame, fixtures: DataFrame, targets: DataFrame, trials: DataFrame) -> DataFrame:
     """trial, q_id, rank of the first target (null if none is in the results), top1 score, top5 score."""
     marked = results.join(targets.select("q_id", "file_id", F.lit(True).alias("hit")).distinct(), ["q_id", "file_id"], "left")

@@ -1,55 +1,73 @@
-"""The stored index: sections, postings and statistics as Parquet tables, rebuilt or refreshed file by file."""
+"""The stored index: sections, postings and statistics as Parquet tables, built when first needed, refreshed file by file."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquill.functions import scalars as S
 from sparkquill.operators import search
-from sparkquill.operators.lifecycle import replace_table
+from sparkquill.operators.lifecycle import remove_table, replace_table
+from sparkquill.operators.search import Index
 from sparkquill.streaming.incremental import diff, refreshed
 
-VERSION = 1
-
-
-@dataclass
-class Index:
-    sections: DataFrame  # file_id, source, zone, rel, line, heading, length
-    postings: DataFrame  # term, file_id, line, tf; clustered and sorted by term
-    meta: DataFrame  # version, n_docs, avg_len
-    files: DataFrame  # file_id, sig, anchor_sig, sha1
+#: Raised whenever tables or analysis change: an index of another version is built anew.
+VERSION = 4
 
 
 def build(sections: DataFrame, files: DataFrame) -> Index:
-    rows = search.weighted(sections)
-    kept = rows.select("file_id", "source", "zone", "rel", "line", "heading", "length")
-    meta = kept.agg(F.lit(VERSION).alias("version"), F.count("*").alias("n_docs"), F.avg("length").alias("avg_len"))
-    return Index(kept, search.postings(sections), meta, files)
+    index = search.analysed(sections)
+    index.files = files
+    return index
 
 
 def write(index: Index, path: str, old_files: int | None = None) -> None:
-    """Every table staged and swapped in. Postings are ranged by term, so a query's terms touch few row groups."""
+    """Every table staged and swapped in. Postings are ranged by term, so a query's terms touch few row groups; a frequent term has several ranges."""
     replace_table(index.files, f"{path}/files", old_files)
+    if index.rows is not None:  # sections are analysed once
+        replace_table(index.rows, f"{path}/rows")
+        index = search.of_rows(index.rows.sparkSession.read.parquet(f"{path}/rows"))
     replace_table(index.sections, f"{path}/sections")
-    replace_table(index.postings.repartitionByRange("term").sortWithinPartitions("term", "file_id", "line"), f"{path}/postings")
-    replace_table(index.meta, f"{path}/meta")
+    order = ["term", "file_id", "line"]
+    replace_table(index.postings.repartitionByRange(*order).sortWithinPartitions(*order), f"{path}/postings")
+    stored = index.sections.sparkSession.read.parquet(f"{path}/sections")
+    replace_table(search.meta_of(stored).withColumn("version", F.lit(VERSION)), f"{path}/meta")
+    remove_table(stored.sparkSession, f"{path}/rows")
+
+
+def probe(spark: SparkSession, path: str) -> dict:
+    """present, readable, files of a stored index; one of another version has 0 files."""
+    try:
+        row = spark.read.parquet(f"{path}/meta").first()
+    except Exception as e:
+        return {"present": "PATH_NOT_FOUND" not in str(e), "readable": False, "files": 0}
+    if row is None or row["version"] != VERSION:
+        return {"present": True, "readable": row is not None, "files": 0}
+    return {"present": True, "readable": True, "files": spark.read.parquet(f"{path}/files").count()}
 
 
 def read(spark: SparkSession, path: str) -> Index | None:
-    """The stored index; None if there is none, or one of another version."""
+    """The stored index; None if there is none, it cannot be read, or it is of another version."""
     try:
         meta = spark.read.parquet(f"{path}/meta")
+        row = meta.first()
+        if row is None or row["version"] != VERSION:
+            return None
+        return Index(spark.read.parquet(f"{path}/sections"), spark.read.parquet(f"{path}/postings"), meta, spark.read.parquet(f"{path}/files"))
     except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
+        if any(x in str(e) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER", "UNRESOLVED_COLUMN")):
             return None
         raise
-    row = meta.first()
-    if row is None or row["version"] != VERSION:
-        return None
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("sections", "postings")), meta, spark.read.parquet(f"{path}/files"))
+
+
+def opened(spark: SparkSession, path: str, sections: Callable[[], DataFrame], files: Callable[[], DataFrame]) -> Index:
+    """The stored index, built first if there is none that can be used."""
+    index = read(spark, path)
+    if index is None:
+        write(build(sections(), files()), path)
+        index = read(spark, path)
+    return index
 
 
 def refresh(old: Index, sections: DataFrame, files: DataFrame, verify: bool = False) -> Index:
@@ -58,16 +76,4 @@ def refresh(old: Index, sections: DataFrame, files: DataFrame, verify: bool = Fa
     redo = sections.join(changes.where("change in ('new', 'changed')").select("file_id"), "file_id", "left_semi")
     part = build(redo, files)
     kept = refreshed(old.sections, changes, part.sections)
-    meta = kept.agg(F.lit(VERSION).alias("version"), F.count("*").alias("n_docs"), F.avg("length").alias("avg_len"))
-    return Index(kept, refreshed(old.postings, changes, part.postings), meta, files)
-
-
-def scored(index: Index, terms: list[str], k1: float = S.K1, b: float = S.B) -> DataFrame:
-    """The scores that search.scored() gives, from the stored tables; the terms reach the scan as a filter."""
-    tf = index.postings.where(F.col("term").isin(terms))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    parts = tf.join(F.broadcast(df), "term").join(index.sections, ["file_id", "line"]).crossJoin(F.broadcast(index.meta.select(F.col("n_docs").cast("double").alias("n_docs"), "avg_len")))
-    part = S.idf(F.col("n_docs"), F.col("df")) * S.saturated(F.col("tf"), F.col("length"), F.col("avg_len"), k1, b)
-    found = parts.withColumn("part", part).groupBy("file_id", "source", "zone", "rel", "line", "heading").agg(F.sum("part").alias("total"), F.count("*").alias("hits"), F.array_sort(F.collect_list("term")).alias("matched"))
-    score = F.col("total") * S.coverage(F.col("hits")) * search.zone_weight(F.col("zone"))
-    return found.select("file_id", "source", "zone", "rel", "line", "heading", S.half_up(score, search.DIGITS).alias("score"), "hits", "matched")
+    return Index(kept, refreshed(old.postings, changes, part.postings), search.meta_of(kept), files)

@@ -7,14 +7,15 @@ filters on source, zone or folder act on the scored rows only, as the ranking co
 from __future__ import annotations
 
 import re
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkquill.functions import scalars as S
 from sparkquill.functions import text as T
-from sparkquill.sources.corpus import ZONE_WEIGHT, files_of
+from sparkquill.functions.analysis import Analyzer, field_counts
+from sparkquill.sources.corpus import ZONE_WEIGHT, files_of, spread
 
 # Fixed values of the search contract.
 FIELDS = {"heading": 4.0, "meta": 2.0, "crumb": 1.5, "body": 1.0}
@@ -26,81 +27,90 @@ DIGITS = 6
 
 def sections_of(documents: DataFrame) -> DataFrame:
     """The documents table as sections, one per line: heading is the first line, crumb the language, meta the source and language."""
-    files = files_of(documents)
+    files = files_of(spread(documents))
     return files.select("file_id", "source", "zone", "rel", F.col("title").alias("heading"), F.col("lang").alias("crumb"), F.concat_ws(" ", "source", "lang").alias("meta"), F.posexplode(F.split("text", "\n", -1)).alias("place", "body")).withColumn("line", (F.col("place") + 1).cast("long")).drop("place")
 
 
-def weighted(sections: DataFrame, only: list[str] | None = None, weights: dict[str, float] = FIELDS) -> DataFrame:
-    """Adds length (sum of field weights over all tokens) and terms (term, weight), of the given terms only if any are given."""
-    fields = {f: T.tokens(F.col(f), stemmed=only is None) for f in weights}
-    held = sections.select("*", *[t.alias(f"tokens_{f}") for f, t in fields.items()])
-    length = sum((F.size(f"tokens_{f}") * w for f, w in weights.items()), F.lit(0.0))
+KEEP = ["file_id", "source", "zone", "rel", "line", "heading"]
+POSTED = ["term", "file_id", "source", "zone", "rel", "line", *(f"f_{f}" for f in FIELDS), *(f"n_{f}" for f in FIELDS)]
 
-    def kept(f: str) -> Column:
-        t = F.col(f"tokens_{f}")
-        if only is None:
-            return t
-        # A stem is its word but for the end, with two letters of its own at most: few words need stemming.
-        begins = sorted({x[:-2] for x in only})
-        near = F.filter(t, lambda x: reduce(lambda a, p: a | x.startswith(p), begins, F.lit(False)))
-        return F.filter(F.transform(near, T.stem), lambda x: x.isin(only))
 
-    def with_weight(f: str, w: float) -> Column:
-        return F.transform(kept(f), lambda x: F.struct(x.alias("term"), F.lit(w).alias("weight")))
+@dataclass
+class Index:
+    """What ranking needs of a corpus, stored or computed on demand: tokens are counted by field, so any weights apply afterwards."""
 
-    terms = F.concat(*[with_weight(f, w) for f, w in weights.items()])
-    return held.select("file_id", "source", "zone", "rel", "line", "heading", length.alias("length"), terms.alias("terms"))
+    sections: DataFrame  # file_id, source, zone, rel, line, heading, n_<field>
+    postings: DataFrame  # POSTED
+    meta: DataFrame  # n_docs, a_<field> (mean tokens)
+    files: DataFrame | None = None  # file_id, sig, anchor_sig, sha1
+    rows: DataFrame | None = None  # what sections and postings are read from, if it was just analysed
 
 
-def postings(sections: DataFrame) -> DataFrame:
+def meta_of(sections: DataFrame) -> DataFrame:
+    return sections.agg(F.count("*").alias("n_docs"), *[F.coalesce(F.avg(f"n_{f}"), F.lit(0.0)).alias(f"a_{f}") for f in FIELDS])
+
+
+def of_rows(rows: DataFrame) -> Index:
+    """The index of analysed sections (see analysis.field_counts)."""
+    posted = rows.where(F.size("counts") > 0).select("*", F.explode("counts").alias("c")).select(*[F.col(f"c.{x}").alias(x) if x == "term" or x.startswith("f_") else F.col(x) for x in POSTED])
+    return Index(rows.drop("counts"), posted, meta_of(rows), rows=rows)
+
+
+def analysed(sections: DataFrame, only: list[str] | None = None) -> Index:
+    """The index of sections, each with a number of its own in its file. Of the given terms only, if any are given; lengths and means always count all tokens."""
+    return of_rows(field_counts(sections, KEEP, list(FIELDS), only))
+
+
+def weighed(prefix: str, weights: dict[str, float] = FIELDS) -> Column:
+    """The sum of a field's count times its weight."""
+    return sum((F.col(f"{prefix}_{f}") * F.lit(w) for f, w in weights.items()), F.lit(0.0))
+
+
+def postings(index: Index, weights: dict[str, float] = FIELDS) -> DataFrame:
     """term, file_id, line, tf: the sum of field weights."""
-    rows = weighted(sections).select("file_id", "line", F.explode("terms").alias("t"))
-    return rows.groupBy(F.col("t.term").alias("term"), "file_id", "line").agg(F.sum("t.weight").alias("tf"))
+    return index.postings.select("term", "file_id", "line", weighed("f", weights).alias("tf"))
 
 
-def lengths(sections: DataFrame) -> DataFrame:
-    return weighted(sections, []).select("file_id", "line", "length")
+def lengths(index: Index) -> DataFrame:
+    return index.sections.select("file_id", "line", weighed("n").alias("length"))
 
 
-def index_meta(sections: DataFrame) -> DataFrame:
-    return lengths(sections).agg(F.count("*").alias("n_docs"), S.half_up(F.avg("length"), DIGITS).alias("avg_len"))
+def index_meta(index: Index) -> DataFrame:
+    return index.meta.select("n_docs", S.half_up(weighed("a"), DIGITS).alias("avg_len"))
 
 
-def document_frequency(sections: DataFrame) -> DataFrame:
-    return postings(sections).groupBy("term").agg(F.count("*").alias("df"))
+def document_frequency(index: Index) -> DataFrame:
+    return index.postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def transposed(posted: DataFrame) -> DataFrame:
-    """Postings by section: file_id, line, terms (a map)."""
+    """Postings by section: file_id, line, terms (a map of term to tf)."""
     return posted.groupBy("file_id", "line").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("terms"))
 
 
-def query_terms(spark, query: str) -> list[str]:
+def query_terms(query: str) -> list[str]:
     """The distinct search tokens of a query, in order."""
-    row = spark.range(1).select(F.array_distinct(T.tokens(F.lit(query))).alias("t")).first()
-    return list(row["t"])
+    return list(dict.fromkeys(Analyzer().tokens(query)))
 
 
 def zone_weight(zone: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for pair in ZONE_WEIGHT.items() for x in pair))[zone], F.lit(1.0))
 
 
-def scored(sections: DataFrame, terms: list[str], k1: float = S.K1, b: float = S.B, weights: dict[str, float] = FIELDS) -> DataFrame:
-    """file_id, source, zone, rel, line, heading, score, hits, matched (sorted terms), of sections with any term.
+def scored(corpus: DataFrame | Index, terms: list[str], k1: float = S.K1, b: float = S.B, weights: dict[str, float] = FIELDS) -> DataFrame:
+    """file_id, source, zone, rel, line, score, hits, matched (sorted terms), of sections with any term.
 
-    Only the query's terms are exploded. The statistics are one row and one row per term; they are
-    aggregated from narrow columns and broadcast.
+    The terms reach a stored index's scan as a filter. The statistics are one row, and one row per term of the query.
     """
-    rows = weighted(sections, terms, weights)
-    stats = rows.agg(F.count("*").cast("double").alias("n_docs"), F.avg("length").alias("avg_len"))
-    hits = rows.where(F.size("terms") > 0).select("file_id", "source", "zone", "rel", "line", "heading", "length", F.explode("terms").alias("t"))
-    tf = hits.groupBy("file_id", "source", "zone", "rel", "line", "heading", "length", F.col("t.term").alias("term")).agg(F.sum("t.weight").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    parts = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
+    index = corpus if isinstance(corpus, Index) else analysed(corpus, terms)
+    found = index.postings.where(F.col("term").isin(terms)) if terms else index.postings.limit(0)
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    stats = index.meta.select(F.col("n_docs").cast("double").alias("n_docs"), weighed("a", weights).alias("avg_len"))
+    parts = found.select("term", "file_id", "source", "zone", "rel", "line", weighed("f", weights).alias("tf"), weighed("n", weights).alias("length")).join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
     part = S.idf(F.col("n_docs"), F.col("df")) * S.saturated(F.col("tf"), F.col("length"), F.col("avg_len"), k1, b)
-    found = parts.withColumn("part", part).groupBy("file_id", "source", "zone", "rel", "line", "heading").agg(F.sum("part").alias("total"), F.count("*").alias("hits"), F.array_sort(F.collect_list("term")).alias("matched"))
+    totals = parts.withColumn("part", part).groupBy("file_id", "source", "zone", "rel", "line").agg(F.sum("part").alias("total"), F.count("*").alias("hits"), F.array_sort(F.collect_list("term")).alias("matched"))
     score = F.col("total") * S.coverage(F.col("hits")) * zone_weight(F.col("zone"))
-    return found.select("file_id", "source", "zone", "rel", "line", "heading", S.half_up(score, DIGITS).alias("score"), "hits", "matched")
+    return totals.select("file_id", "source", "zone", "rel", "line", S.half_up(score, DIGITS).alias("score"), "hits", "matched")
 
 
 def allowed(rows: DataFrame, source: str | None = None, folder: str | None = None, raw: bool = False) -> DataFrame:
@@ -130,10 +140,22 @@ def top(rows: DataFrame, k: int = TOP, order: list[Column] | None = None) -> Dat
     return rows.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def search(sections: DataFrame, query: str, k: int = TOP, per_file: int = PER_FILE, source: str | None = None, folder: str | None = None, raw: bool = False) -> DataFrame:
+def ranked_rows(rows: DataFrame, lead: list[tuple[str, bool]], rest: list[Column], name: str = "rank") -> DataFrame:
+    """Numbers all rows in the order of the lead columns (name, descending) and, among equal ones, of rest.
+
+    Rows are numbered within their lead values in parallel; a row per distinct lead values says how many come before.
+    """
+    by = [F.desc(c) if down else F.asc(c) for c, down in lead]
+    names = [c for c, _ in lead]
+    counts = rows.groupBy(*names).agg(F.count("*").alias("rows_here"))
+    before = counts.withColumn("rows_before", F.coalesce(F.sum("rows_here").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("rows_here")
+    nth = F.row_number().over(Window.partitionBy(*names).orderBy(*rest))
+    return rows.withColumn("nth_here", nth).join(before, names).withColumn(name, F.col("rows_before") + F.col("nth_here")).drop("nth_here", "rows_before")
+
+
+def search(corpus: DataFrame | Index, query: str, k: int = TOP, per_file: int = PER_FILE, source: str | None = None, folder: str | None = None, raw: bool = False) -> DataFrame:
     """Ranked results: rank, file_id, line, score, hits, matched, ..."""
-    terms = query_terms(sections.sparkSession, query)
-    return top(diversified(allowed(scored(sections, terms), source, folder, raw), per_file), k)
+    return top(diversified(allowed(scored(corpus, query_terms(query)), source, folder, raw), per_file), k)
 
 
 def confidence(rows: DataFrame, threshold: float = THRESHOLD, ratio: float = RATIO) -> DataFrame:
@@ -162,25 +184,29 @@ def fused(lists: list[tuple[DataFrame, float]]) -> DataFrame:
     """Reciprocal-rank fusion of rankings: file_id, line, ..., rrf, score (the best), matched, n_lists."""
     parts = None
     for rows, weight in lists:
-        # Ranks need one order over a list; only rows that match the query are in it.
-        ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(*by_score())))
+        # Scores in bins of a sixteenth: a list is numbered bin by bin, in parallel.
+        ranked = ranked_rows(rows.withColumn("bin", F.floor(F.col("score") * 16)), [("bin", True)], by_score()).drop("bin")
         part = ranked.withColumn("gain", F.lit(weight) / (S.RRF_K + F.col("rank")) + S.rrf_bonus(F.col("rank")))
         parts = part if parts is None else parts.unionByName(part)
-    out = parts.groupBy("file_id", "source", "zone", "rel", "line", "heading").agg(F.sum("gain").alias("gain"), F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("matched")))).alias("matched"), F.count("*").alias("n_lists"))
+    out = parts.groupBy("file_id", "source", "zone", "rel", "line").agg(F.sum("gain").alias("gain"), F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("matched")))).alias("matched"), F.count("*").alias("n_lists"))
     return out.withColumn("rrf", S.half_up(F.col("gain"), DIGITS)).drop("gain")
 
 
-def search_document(sections: DataFrame, document: str, k: int = TOP, per_file: int = PER_FILE) -> DataFrame:
+def search_document(corpus: DataFrame | Index, document: str, k: int = TOP, per_file: int = PER_FILE) -> DataFrame:
     """A query document: several sub-queries are fused, a single line is searched as it is."""
     structured, lex, _ = parse_query(document)
     if not structured:
-        return search(sections, document, k, per_file)
-    spark = sections.sparkSession
-    lists = [(allowed(scored(sections, query_terms(spark, q))), w) for q, w in fusion_lists(lex)]
+        return search(corpus, document, k, per_file)
+    lists = [(allowed(scored(corpus, query_terms(q))), w) for q, w in fusion_lists(lex)]
     order = [F.desc("rrf"), *by_score()]
     return top(diversified(fused(lists), per_file, order), k, order)
 
 
+def with_headings(rows: DataFrame, index: Index) -> DataFrame:
+    """Adds the headings of the few rows that a search returns."""
+    return index.sections.select("file_id", "line", "heading").join(F.broadcast(rows), ["file_id", "line"])
+
+
 def evidence(rows: DataFrame, terms: list[str], query: str, aliases: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Adds evidence (exact_title, alias, keyword_exact, partial) and creation_sure. aliases: file_id, anchors (tokens of links to it)."""
     wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
@@ -216,12 +242,13 @@ def expanded(results: DataFrame, neighbours: DataFrame, degrees: DataFrame) -> D
 
 def learned(results: DataFrame, entries: DataFrame) -> DataFrame:
     """Results reordered by feedback: a file's learned score moves its rank by less than one place. entries: file_id, learned."""
-    moved = results.join(F.broadcast(entries), "file_id", "left").withColumn("place", S.half_up(S.nudged(F.col("rank"), F.coalesce("learned", F.lit(0.0))), DIGITS))
+    own = entries.join(F.broadcast(results.select("file_id").distinct()), "file_id", "left_semi")  # a search's few rows are the small side
+    moved = results.join(own, "file_id", "left").withColumn("place", S.half_up(S.nudged(F.col("rank"), F.coalesce("learned", F.lit(0.0))), DIGITS))
     return moved.withColumn("new_rank", F.row_number().over(Window.orderBy("place", "rank")))
 
 
 def with_snippets(results: DataFrame, sections: DataFrame, terms: list[str]) -> DataFrame:
     """Adds the snippet of the few result rows, headed by their lines."""
-    rows = results.select("file_id", "line", "rank", "score").join(sections.select("file_id", "line", "body"), ["file_id", "line"])
+    rows = sections.select("file_id", "line", "body").join(F.broadcast(results.select("file_id", "line", "rank", "score")), ["file_id", "line"])
     head = F.format_string("@@ -%d,%d @@ ", F.col("line"), F.lit(1).cast("long"))
     return rows.select("rank", "file_id", "line", "score", F.concat(head, T.snippet_udf(terms)("body")).alias("snippet"))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from sparkquill.functions import text as T
 from sparkquill.operators import evaluate, feedback, graph, introspect, lifecycle, lint, search, sessions, structure
 from sparkquill.plans import sql
+from sparkquill.plans.search_queries import ORACLES as _SEARCH
+from sparkquill.plans.search_queries import stored_index
+from sparkquill.session import shared_folder
 from sparkquill.sources.corpus import files_of, listed_values, status_of, table
 from sparkquill.streaming import incremental
 
@@ -270,9 +273,8 @@ def _fixtures(spark, d):
     """Fixtures of the benchmark: the query is its first eight words; targets are the documents that hold the whole text."""
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), F.regexp_replace("text", r"\s+", " ").alias("passage"))
     query_text = F.array_join(F.slice(F.split("passage", " "), 1, 8), " ")
-    # The passages are searched in every text; a benchmark is small and its size is that of the broadcast.
     docs = _files(spark, d).select("file_id", F.regexp_replace("text", r"\s+", " ").alias("flat"))
-    targets = docs.join(F.broadcast(items), F.col("flat").contains(F.col("passage"))).select("q_id", "file_id")
+    targets = evaluate.holding(docs, "file_id", "flat", items, "q_id", "passage")
     kinds = targets.select("q_id").distinct().withColumn("good", F.lit(True))
     return items.join(kinds, "q_id", "left").select("q_id", query_text.alias("query"), F.when(F.col("good"), "good").otherwise("weak").alias("kind")), targets
 
@@ -305,7 +307,7 @@ _METRICS = f"""SELECT trial, count(*) AS n, {sql.half_up("avg(CASE WHEN rank = 1
 
 def _hits(spark, d, trials):
     fixtures, targets = _fixtures(spark, d)
-    results = evaluate.ranked(search.sections_of(table(spark, d, "documents")), fixtures, trials)
+    results = evaluate.ranked(stored_index(spark, d), fixtures, trials)
     return evaluate.first_hits(results, fixtures, targets, trials).join(fixtures.select("q_id", "kind"), "q_id")
 
 
@@ -337,12 +339,12 @@ def tune_grid_full(spark, d):
     """All trials of the grid. A quarter of the fixtures is held out, a fifth of the good ones are traps; their ids say which."""
     trials = evaluate.grid(spark)
     fixtures, targets = _fixtures(spark, d)
-    sections = search.sections_of(table(spark, d, "documents"))
-    results = evaluate.ranked(sections, fixtures, trials)
+    held = stored_index(spark, d)
+    results = evaluate.ranked(held, fixtures, trials)
     lot = F.crc32(F.col("q_id").cast("string").cast("binary"))
     marked = fixtures.select("q_id", "kind", (lot % 4 == 0).alias("held_out"), ((lot % 5 == 0) & (F.col("kind") == "good")).alias("trap"), F.lit(evaluate.DEPTH).alias("rank_max"))
     hits = evaluate.first_hits(results, fixtures, targets, trials).join(marked, "q_id")
-    return evaluate.tuned(hits.join(evaluate.navigational_hits(results, sections), ["trial", "q_id"], "left"), trials)
+    return evaluate.tuned(hits.join(evaluate.navigational_hits(results, held.sections), ["trial", "q_id"], "left"), trials)
 
 
 # Feedback.
@@ -456,8 +458,7 @@ def stream_incremental(spark, d):
     """Replays the events as a stream of files into a table of the latest event of each user."""
     import uuid
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp/sparkquill"
-    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     events = table(spark, d, "events")
     events.select("user_id", "event_id", "event_type", "value").repartition(2, "user_id").write.parquet(f"{base}/in")
     schema = "user_id long, event_id long, event_type string, value double"
@@ -476,6 +477,4 @@ def redaction_counts(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count_if(T.redact(F.col("text")).contains(T.MASK)).alias("masked"))
 
 
-from sparkquill.plans.search_queries import ORACLES as _SEARCH  # noqa: E402
-
 ORACLES["redaction_counts"] = ORACLES["redaction_counts"].replace("REDACTED", _SEARCH["redact_secrets"])

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from sparkquill.functions import text as T
 from sparkquill.functions.scalars import half_up
-from sparkquill.operators import graph, lint, search
+from sparkquill.functions.analysis import term_counts
+from sparkquill.operators import graph, index, lint, search
 from sparkquill.plans import sql
-from sparkquill.sources.corpus import files_of, first_zone, lines_of, page_of_lines, table
+from sparkquill.session import shared_folder
+from sparkquill.sources.corpus import files_of, fingerprint, first_zone, lines_of, page_of_lines, spread, table
 
 QUERIES, ORACLES = {}, {}
 #: The searched words: common ones, a rare one, one of each language's text.
@@ -35,6 +37,16 @@ def _sections(spark: SparkSession, d: str) -> DataFrame:
     return search.sections_of(_docs(spark, d))
 
 
+def files_with_signatures(docs: DataFrame) -> DataFrame:
+    return files_of(docs).select("file_id", F.sha1("text").alias("sig"), F.lit("").alias("anchor_sig"), F.sha1("text").alias("sha1"))
+
+
+def stored_index(spark: SparkSession, d: str) -> search.Index:
+    """The index of the documents table in the shared folder, built when a table (by its files' sizes and change times) is first searched."""
+    path = f"{shared_folder(spark).rstrip('/')}/index-{fingerprint(spark, d, 'documents')}"
+    return index.opened(spark, path, lambda: _sections(spark, d), lambda: files_with_signatures(_docs(spark, d)))
+
+
 def _flat(rows: DataFrame) -> DataFrame:
     return rows.withColumn("matched", F.array_join("matched", " "))
 
@@ -55,7 +67,7 @@ def fold_slugify(spark, d):
 
 @query("stem_tokens", f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({sql.tokens('text')}) AS term FROM documents) GROUP BY ALL")
 def stem_tokens(spark, d):
-    return _docs(spark, d).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return term_counts(spread(_docs(spark, d)), "doc_id", "text").groupBy("doc_id", "term").agg(F.sum("n").alias("n"))
 
 
 @query("token_compounds", f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({sql.compounds('text')}) AS word FROM documents) GROUP BY ALL")
@@ -65,37 +77,61 @@ def token_compounds(spark, d):
 
 @query("postings_tf", f"WITH {sql.POSTINGS} SELECT term, file_id, line, tf FROM postings")
 def postings_tf(spark, d):
-    return search.postings(_sections(spark, d))
+    return search.postings(search.analysed(_sections(spark, d)))
 
 
 @query("doc_lengths", f"WITH {sql.POSTINGS} SELECT file_id, line, length FROM lengths")
 def doc_lengths(spark, d):
-    return search.lengths(_sections(spark, d))
+    return search.lengths(search.analysed(_sections(spark, d)))
 
 
 @query("index_meta", f"WITH {sql.POSTINGS} SELECT CAST(n_docs AS BIGINT) AS n_docs, {sql.half_up('avg_len', 6)} AS avg_len FROM stats")
 def index_meta(spark, d):
-    return search.index_meta(_sections(spark, d))
+    return search.index_meta(search.analysed(_sections(spark, d)))
 
 
 @query("document_frequency", f"WITH {sql.POSTINGS} SELECT term, df FROM df")
 def document_frequency(spark, d):
-    return search.document_frequency(_sections(spark, d))
+    return search.document_frequency(search.analysed(_sections(spark, d)))
 
 
 @query("search_bm25", f"WITH {sql.POSTINGS}, {sql.scored(QUERY)} {RESULT_SQL} FROM {sql.top(sql.diversified('scored'), 20)}")
 def search_bm25(spark, d):
+    return _flat(search.search(stored_index(spark, d), QUERY, 20)).select(*RESULT)
+
+
+@query("search_sections", f"WITH {sql.POSTINGS}, {sql.scored(QUERY)} {RESULT_SQL} FROM {sql.top(sql.diversified('scored'), 20)}")
+def search_sections(spark, d):
+    """The same over sections that no index holds: only the query's terms leave the analysis."""
     return _flat(search.search(_sections(spark, d), QUERY, 20)).select(*RESULT)
 
 
+_CHANGED = "CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || 'loser thing' ELSE text END"
+
+
+@query("search_refreshed", f"WITH {sql.POSTINGS}, {sql.scored(QUERY)} {RESULT_SQL} FROM {sql.top(sql.diversified('scored'), 20)}".replace("lang, text FROM documents", f"lang, {_CHANGED} AS text FROM documents WHERE doc_id % 11 <> 0"))
+def search_refreshed(spark, d):
+    """A search after a change: some documents are gone, some longer; the others keep their rows of the stored index."""
+    docs = _docs(spark, d)
+    changed = docs.where("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("\nloser thing"))).otherwise(F.col("text")))
+    held = index.refresh(stored_index(spark, d), search.sections_of(changed), files_with_signatures(changed), verify=True)
+    return _flat(search.search(held, QUERY, 20)).select(*RESULT)
+
+
+@query("postings_transposed", f"WITH {sql.POSTINGS} SELECT file_id, line, count(*) AS terms, sum(tf)::DOUBLE AS total FROM postings GROUP BY file_id, line")
+def postings_transposed(spark, d):
+    rows = search.transposed(search.postings(stored_index(spark, d)))
+    return rows.select("file_id", "line", F.size("terms").cast("long").alias("terms"), F.aggregate(F.map_values("terms"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
 @query("search_filtered", f"WITH {sql.POSTINGS}, {sql.scored(QUERY)} {RESULT_SQL} FROM {sql.top(sql.diversified('scored', where="source = 'src1' AND (rel LIKE '1%' OR file_id LIKE '1%')"), 20)}")
 def search_filtered(spark, d):
-    return _flat(search.search(_sections(spark, d), QUERY, 20, source="src1", folder="1", raw=True)).select(*RESULT)
+    return _flat(search.search(stored_index(spark, d), QUERY, 20, source="src1", folder="1", raw=True)).select(*RESULT)
 
 
 @query("search_diverse", f"WITH {sql.POSTINGS}, {sql.scored(QUERY)} {RESULT_SQL} FROM {sql.top(sql.diversified('scored', per_file=1), 50)}")
 def search_diverse(spark, d):
-    return _flat(search.search(_sections(spark, d), QUERY, 50, per_file=1)).select(*RESULT)
+    return _flat(search.search(stored_index(spark, d), QUERY, 50, per_file=1)).select(*RESULT)
 
 
 @query(
@@ -104,7 +140,7 @@ def search_diverse(spark, d):
 SELECT n, top1, top5, CASE WHEN n = 0 THEN 'none' WHEN coalesce(top1 < 7.0 OR (top5 > 0 AND top1 / top5 < 1.5), false) THEN 'low' ELSE 'ok' END AS confidence FROM best""",
 )
 def search_confidence(spark, d):
-    rows = search.scored(_sections(spark, d), search.query_terms(spark, QUERY))
+    rows = search.scored(stored_index(spark, d), search.query_terms(QUERY))
     return search.confidence(search.diversified(search.allowed(rows)))
 
 
@@ -120,7 +156,7 @@ def _rrf_sql() -> str:
 
 @query("search_rrf", _rrf_sql())
 def search_rrf(spark, d):
-    return _flat(search.search_document(_sections(spark, d), ANGLES, 20)).select("file_id", "line", "rrf", "score", "matched", "n_lists", "rank")
+    return _flat(search.search_document(stored_index(spark, d), ANGLES, 20)).select("file_id", "line", "rrf", "score", "matched", "n_lists", "rank")
 
 
 @query(
@@ -130,8 +166,9 @@ e AS (SELECT *, CASE WHEN list_sort(list_distinct({sql.tokens('heading')})) = wa
 SELECT file_id, line, score, evidence, CASE WHEN evidence = 'exact_title' THEN 'exists' WHEN score >= 7 THEN 'probable' ELSE 'unknown' END AS creation_sure FROM e""",
 )
 def search_evidence(spark, d):
-    rows = search.search(_sections(spark, d), QUERY, 50)
-    return search.evidence(rows, search.query_terms(spark, QUERY), QUERY).select("file_id", "line", "score", "evidence", "creation_sure")
+    held = stored_index(spark, d)
+    rows = search.with_headings(search.search(held, QUERY, 50), held)
+    return search.evidence(rows, search.query_terms(QUERY), QUERY).select("file_id", "line", "score", "evidence", "creation_sure")
 
 
 _NEIGHBOURS = r"""anchors AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)', 1)) AS target FROM pages),
@@ -150,7 +187,7 @@ def search_expand(spark, d):
     anchors = graph.page_links(table(spark, d, "pages"))
     other = F.concat(F.lit("page:"), F.col("target")).alias("other")
     near = files_of(_docs(spark, d)).join(anchors, F.col("doc_id") == F.col("from_id")).select("file_id", other).distinct()
-    return search.expanded(search.search(_sections(spark, d), QUERY, 20), near, anchors.groupBy(other).agg(F.count("*").alias("degree")))
+    return search.expanded(search.search(stored_index(spark, d), QUERY, 20), near, anchors.groupBy(other).agg(F.count("*").alias("degree")))
 
 
 @query(
@@ -167,13 +204,12 @@ def search_learn(spark, d):
     logged = events.select("ts", F.col("doc_id").alias("file"), "outcome", F.lit("").alias("query"), F.lit("").alias("sha1"))
     learned = report(logged, F.lit("2024-01-31").cast("timestamp")).select(F.col("file").alias("doc_id"), F.col("score").alias("learned"))
     entries = files_of(_docs(spark, d)).join(learned, "doc_id").select("file_id", "learned")
-    return search.learned(search.search(_sections(spark, d), QUERY, 20), entries).select("file_id", "line", "score", "rank", "place", "new_rank")
+    return search.learned(search.search(stored_index(spark, d), QUERY, 20), entries).select("file_id", "line", "score", "rank", "place", "new_rank")
 
 
 @query("snippet")
 def snippet(spark, d):
-    sections = _sections(spark, d)
-    return search.with_snippets(search.search(sections, QUERY, 20), sections, search.query_terms(spark, QUERY))
+    return search.with_snippets(search.search(stored_index(spark, d), QUERY, 20), _sections(spark, d), search.query_terms(QUERY))
 
 
 _DIRTY = "'<|im_start|>' || chr(27) || '[31m' || text || '[INST]' || chr(8238) || ' ### System: x </system>'"
@@ -192,7 +228,7 @@ def sanitize_text(spark, d):
 
 @query("redact_secrets", None)
 def redact_secrets(spark, d):
-    return _docs(spark, d).select("doc_id", T.redact(F.col("text")).alias("redacted"))
+    return spread(_docs(spark, d)).select("doc_id", T.redact(F.col("text")).alias("redacted"))
 
 
 def _redact_sql() -> str:

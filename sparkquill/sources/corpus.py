@@ -12,12 +12,27 @@ ZONE_WEIGHT = {"distilled": 1.0, "raw": 1.0, "outputs": 0.7}
 NOTE_EXTENSIONS = ("md", "markdown", "txt", "pdf")
 FRONTMATTER_HEAD, STATUS_HEAD = 8192, 2048
 PDF_BLOCK = 1500
+#: Bytes a core below which an input is dealt anew.
+LEAST_SPLIT = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores before work that costs more than their transport, where the input is too small to come in enough splits."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * LEAST_SPLIT else rows
+
+
+def fingerprint(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A hash of path, size and change time of a table's files; no row is read."""
+    files = table(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return files.agg(F.coalesce(F.sha1(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "file_path", "file_size", "file_modification_time"))), "\n")), F.lit("")).alias("h")).first()["h"][:16]
+
+
 def zone_of(number: Column) -> Column:
     """The zone that a document stands in: of ten, two are raw and one is an output."""
     return F.when((number % 10).isin(7, 8), "raw").when(number % 10 == 9, "outputs").otherwise("distilled")

@@ -1,5 +1,7 @@
 """The stored index: scores equal a search over the sections; a refresh equals a rebuild."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from sparkquill.operators import index, search
@@ -24,8 +26,31 @@ def test_index_round_trip_and_refresh(spark, small, tmp_path):
     whole = index.build(search.sections_of(changed), files)
     assert rows(new.postings) == rows(whole.postings)
     assert rows(new.meta.select("n_docs")) == rows(whole.meta.select("n_docs"))
-    terms = search.query_terms(spark, "loser the thing")
-    assert rows(index.scored(new, terms)) == rows(search.scored(search.sections_of(changed), terms))
+    terms = search.query_terms("loser the thing")
+    assert rows(search.scored(new, terms)) == rows(search.scored(search.sections_of(changed), terms))
+
+
+def test_index_is_built_once_probed_and_rebuilt_when_unreadable(spark, small, tmp_path):
+    docs = table(spark, small, "documents").where("doc_id < 20")
+    listed = files_of(docs).select("file_id", F.sha1("text").alias("sig"), F.lit("").alias("anchor_sig"), F.lit("").alias("sha1"))
+    path, built = str(tmp_path / "lazy"), []
+
+    def sections():
+        built.append(1)
+        return search.sections_of(docs)
+
+    assert index.probe(spark, path) == {"present": False, "readable": False, "files": 0}
+    for _ in range(2):
+        held = index.opened(spark, path, sections, lambda: listed)
+        assert rows(search.postings(held)) == rows(search.postings(search.analysed(search.sections_of(docs))))
+    assert len(built) == 1
+    assert index.probe(spark, path) == {"present": True, "readable": True, "files": 20}
+    held.meta.withColumn("version", F.lit(99)).write.mode("overwrite").parquet(path + "/meta2")
+    os.rename(path + "/meta", path + "/meta0")
+    os.rename(path + "/meta2", path + "/meta")
+    assert index.read(spark, path) is None and index.probe(spark, path)["files"] == 0
+    index.opened(spark, path, sections, lambda: listed)
+    assert len(built) == 2
 
 
 def test_yaml_subset():
