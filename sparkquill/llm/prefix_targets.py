@@ -1,10 +1,11 @@
 """Chat formatting by prefix-target expansion, with DataFrame functions only.
 
-Every assistant turn becomes an example: all preceding turns are its context and only the reply is
-trainable. Examples of a conversation share their prefix: a row holds the formatted text that is new
-since the previous example and context_chars, the length of the whole context, so the output grows
-with the turns and not with their square, whatever a conversation's length. full_examples() writes
-the contexts out. Turns after the last reply form a final row without reply.
+Every assistant turn becomes an example of its own: all preceding turns, formatted, are its context and
+only the reply is trainable (loss_begin, loss_chars). Each example is written out whole, so the output
+grows with the square of a conversation's turns. A conversation is gathered into one row of pieces,
+which the last example is as long as anyway; its examples are then made one at a time from that row,
+without another shuffle. Turns after the last reply form a final row without reply, with their whole
+context too, so every turn is in the output.
 
 Template: <|im_start|>role, line end, text, <|im_end|>, line end. In texts "&" becomes "&amp;" and
 "<|" becomes "&lt;|"; in roles also a line end becomes "&nl;". So no text can forge a mark, and
@@ -17,7 +18,7 @@ form one conversation; an empty table gives no row; other columns are ignored, w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquill.llm.common import table
@@ -47,48 +48,39 @@ def _in_order(key: str, value: str) -> Column:
 def prefix_examples(turns: DataFrame) -> DataFrame:
     """From conv_id, turn, role, text: a row per assistant turn (and one for what follows the last).
 
-    conv_id, example (from 0), formatted (new text), loss_begin and loss_chars (the reply's range in
-    formatted; null without reply), context_chars (of the whole context, all earlier examples included).
+    conv_id, example (from 0), n_turns (of them that it holds), formatted (the whole context and the
+    reply), loss_begin and loss_chars (the reply's range in formatted; null without reply).
     """
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    by_turn = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    earlier = by_turn.rowsBetween(Window.unboundedPreceding, -1)
-    is_reply = F.col("role") == "assistant"
-    pieces = rows.select(
-        "conv_id",
-        F.row_number().over(by_turn).alias("place"),
-        F.coalesce(F.sum(is_reply.cast("long")).over(earlier), F.lit(0)).alias("example"),
-        F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("head"),
-        escape(F.col("text")).alias("body"),
-        is_reply.alias("is_reply"),
-    ).withColumn("piece", F.concat("head", F.when(F.col("is_reply"), "").otherwise(F.concat("body", F.lit(END)))))
-    examples = pieces.groupBy("conv_id", "example").agg(_in_order("place", "piece").alias("context"), F.max(F.when(F.col("is_reply"), F.col("body"))).alias("reply"))
-    chars = F.length("context") + F.coalesce(F.length("reply") + len(END), F.lit(0))
-    before = F.coalesce(F.sum(chars).over(Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    rows = turns.select("conv_id", F.struct("turn", role.alias("role"), text.alias("text")).alias("t"))
+    held = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    piece = F.transform("turns", lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"), escape(t["text"]), F.lit(END)))
+    replies = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.get(F.col("turns"), i - 1)["role"] == "assistant")
+    ends = F.when(F.coalesce(F.array_max("replies"), F.lit(0)) < F.size("pieces"), F.concat("replies", F.array(F.size("pieces")))).otherwise(F.col("replies"))
+    ready = held.select("conv_id", piece.alias("pieces"), replies.alias("replies"), F.transform("turns", lambda t: F.length(escape(t["text"]))).alias("sizes"))
+    dealt = ready.select("conv_id", "pieces", "sizes", F.size("replies").alias("n_replies"), F.posexplode(ends).alias("example", "n_turns"))
+    is_reply = F.col("example") < F.col("n_replies")
+    chars = F.get(F.col("sizes"), F.col("n_turns") - 1)
+    examples = dealt.select("conv_id", "example", F.col("n_turns").cast("long").alias("n_turns"), F.array_join(F.slice("pieces", F.lit(1), F.col("n_turns")), "").alias("formatted"), is_reply.alias("is_reply"), chars.alias("chars"))
     return examples.select(
         "conv_id",
-        "example",
-        F.concat("context", F.coalesce(F.concat("reply", F.lit(END)), F.lit(""))).alias("formatted"),
-        F.when(F.col("reply").isNotNull(), F.length("context")).cast("long").alias("loss_begin"),
-        F.length("reply").cast("long").alias("loss_chars"),
-        (before + F.length("context")).alias("context_chars"),
+        F.col("example").cast("long").alias("example"),
+        "n_turns",
+        "formatted",
+        F.when(F.col("is_reply"), F.length("formatted") - len(END) - F.col("chars")).cast("long").alias("loss_begin"),
+        F.when(F.col("is_reply"), F.col("chars")).cast("long").alias("loss_chars"),
     )
 
 
-def full_examples(examples: DataFrame) -> DataFrame:
-    """The examples with a reply, written out: conv_id, example, formatted (whole context and reply), loss_begin, loss_chars.
+def read_back(examples: DataFrame) -> DataFrame:
+    """Parses formatted examples again, a row per conversation: conv_id, turns (role, text), losses, formatted_chars.
 
-    The result's size grows with the square of a conversation's turns.
+    turns are those of the longest example, which holds all others; losses are the texts under the
+    examples' loss masks, in order; formatted_chars counts every example whole.
     """
-    so_far = F.collect_list("formatted").over(Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return examples.withColumn("formatted", F.array_join(so_far, "")).where("loss_chars is not null").select("conv_id", "example", "formatted", F.col("context_chars").alias("loss_begin"), "loss_chars")
-
-
-def read_back(examples: DataFrame) -> DataFrame:
-    """Parses formatted examples again, a row per conversation: conv_id, turns (role, text), losses, formatted_chars."""
     loss = F.col("formatted").substr(F.col("loss_begin").cast("int") + 1, F.col("loss_chars").cast("int"))
-    held = examples.select("conv_id", "example", "formatted", F.coalesce(unescape(loss), F.lit("")).alias("loss"), (F.col("context_chars") + F.coalesce(F.col("loss_chars") + len(END), F.lit(0))).alias("chars"))
-    whole = held.groupBy("conv_id").agg(_in_order("example", "formatted").alias("formatted"), _in_order("example", "loss").alias("losses"), F.sum("chars").alias("formatted_chars"))
+    held = examples.select("conv_id", "example", F.length("formatted").cast("long").alias("chars"), "formatted", F.coalesce(unescape(loss), F.lit("")).alias("loss"))
+    whole = held.groupBy("conv_id").agg(F.max_by("formatted", "example").alias("formatted"), _in_order("example", "loss").alias("losses"), F.sum("chars").alias("formatted_chars"))
     marked = F.split("formatted", END_PATTERN)
     parsed = F.transform(
         F.slice(marked, F.lit(1), F.size(marked) - 1),

@@ -88,10 +88,16 @@ def test_chat_round_trip(spark):
         own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
         assert [(t["role"], t["text"]) for t in row["turns"]] == [(r[2] or "", r[3] or "") for r in own]
         assert row["losses"] == "".join(r[3] or "" for r in own if r[2] == "assistant")
-    full = prefix_targets.full_examples(examples).collect()
-    assert len(full) == sum(r[2] == "assistant" for r in rows)
+    full = examples.collect()
+    assert sum(r["loss_chars"] is not None for r in full) == sum(r[2] == "assistant" for r in rows)
+    mark = lambda x: (x or "").replace("&", "&amp;").replace("<|", "&lt;|")
     for r in full:
-        assert r["formatted"][r["loss_begin"] : r["loss_begin"] + r["loss_chars"]] + prefix_targets.END == r["formatted"][r["loss_begin"] :]
+        own = sorted((x for x in rows if x[0] == r["conv_id"]), key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or ""))[: r["n_turns"]]
+        assert r["formatted"] == "".join(f"{prefix_targets.START}{mark(x[2]).replace(chr(10), '&nl;')}\n{mark(x[3])}{prefix_targets.END}" for x in own)
+        if r["loss_chars"] is not None:
+            assert r["formatted"][r["loss_begin"] : r["loss_begin"] + r["loss_chars"]] == mark(own[-1][3]) and own[-1][2] == "assistant"
+    for conv, row in back.items():
+        assert row["formatted_chars"] == sum(len(r["formatted"]) for r in full if r["conv_id"] == conv)
     assert prefix_targets.read_back(prefix_targets.prefix_examples(turns.limit(0))).count() == 0
 
 
@@ -159,11 +165,36 @@ def test_token_counts_equal_brute_force(spark):
 
 def test_prefixes_are_computed_once():
     counter = unigram_counts.TrieCounter(unigram_counts.PieceTable(unigram_counts.default_model()))
-    counter.count(["inter internet international internet"])
-    assert counter.nodes == 1 + len("inter") + len("net") + len("ational") - len("na") + len("na")
-    before = counter.nodes
-    counter.count(["internet inter"])
-    assert counter.nodes == before
+    counter.count(["internet international inter"])
+    assert counter.made == len("\u2581international") + len("et")
+    before = counter.made
+    counter.count(["internet inter internat"])
+    assert counter.made == before
+    deep = "x" * (unigram_counts.DEEPEST + 5)
+    first = counter.count([deep + " " + deep + "y"])
+    assert len(counter.children) < before + unigram_counts.DEEPEST + 2
+    assert counter.count([deep + " " + deep + "y"]) == first
+    assert first[1] == [sum(unigram_counts.brute_force(x, counter.pieces)[1] for x in (deep, deep + "y"))]
+
+
+def test_a_new_trie_gives_the_same_counts():
+    pieces = unigram_counts.PieceTable(unigram_counts.default_model())
+    texts = [prose(k, 30) for k in range(20)]
+    small, large = (unigram_counts.TrieCounter(pieces, kept) for kept in (50, 10**9))
+    assert [small.count([x]) for x in texts] == [large.count([x]) for x in texts]
+
+
+def test_token_counts_equal_the_unigram_model_of_the_library():
+    """The library's own unigram model over the same log probabilities; words with several best segmentations may differ."""
+    from tokenizers import Tokenizer, models
+
+    pieces = unigram_counts.PieceTable(unigram_counts.default_model())
+    assert abs(sum(np.exp(list(pieces.scores.values()))) - 1) < 1e-9
+    library = Tokenizer(models.Unigram([("<unk>", min(pieces.scores.values()) - 20), *pieces.scores.items()], 0, False))
+    counter = unigram_counts.TrieCounter(pieces)
+    words = sorted({w for k in range(40) for w in prose(k, 60).split()} | set("international Verantwortung déjà responsabilité l'entreprise x1.y2 (hello), aaaa".split()))
+    differ = [w for w in words if counter.count([w])[1] != [len(library.encode("\u2581" + w).ids)]]
+    assert len(differ) <= len(words) // 50
 
 
 # 5
