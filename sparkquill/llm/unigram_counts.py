@@ -56,8 +56,8 @@ class PieceTable:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         special = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)
         scores = {model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if not special(i)}
-        if all(s == -r for r, s in enumerate(scores.values())):
-            scores = zipf(list(scores))
+        if all(s == int(s) for s in scores.values()):  # a merge model: minus the ranks
+            scores = zipf(sorted(scores, key=scores.__getitem__, reverse=True))
         self.scores = scores
         self.longest = max(map(len, self.scores))
         self.unknown = min(self.scores.values()) - UNKNOWN
