@@ -9,6 +9,11 @@ Words that no benchmark item contains cannot lie inside an occurrence, so they a
 indexed runs, and runs shorter than the shortest window are left out: the index stays exact and
 holds only what can match. Windows never cross documents.
 
+The benchmark is compiled in blocks of bounded size, files in the shared folder. A shard's words are
+numbered by its own vocabulary and indexed once; the blocks are read one after the other, first for
+the words that they contain, then for their windows. A worker holds one block at a time, so its memory
+does not grow with the benchmark.
+
 Defined results: a null or empty text has no words and is never contaminated; null item texts have
 no windows; a null item_id counts as the id "" ; items that repeat an item_id count once; documents
 that repeat a doc_id are each reported. Other columns of the documents are ignored (report) or
@@ -18,8 +23,10 @@ passed on (filter, cut), whatever their names.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +34,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquill.llm.common import CHUNK_BYTES, table, text_chunks
+from sparkquill.llm.common import kept_in_worker, new_folder, open_store, table, text_chunks
 
 WINDOW = 10
 SAMPLE_EVERY = 8
-#: Benchmark text that is compiled and broadcast at once; a larger benchmark goes in several blocks.
+#: Text of a shard.
+SHARD_BYTES = 8 << 20
+#: Benchmark text that is compiled at once; a larger benchmark goes in several blocks.
 BLOCK_BYTES = 8 << 20
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -178,35 +187,51 @@ class Windows:
             self.by_length[n] = np.array(keys, np.int64).reshape(len(keys), n), [seen[k] for k in keys]
         self.shortest = min(self.by_length, default=0)
 
-    def search(self, numbers: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
-        """(first word, words, items) of each occurrence; starts: where documents begin in numbers."""
-        if not self.by_length or not len(numbers):
+    def patterns(self, numbers: dict[bytes, int]) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
+        """The windows in another numbering of words, by length, with their items; those with a word that it lacks are left out."""
+        to = np.zeros(len(self.vocabulary) + 1, np.int64)
+        for word, own in self.vocabulary.items():
+            to[own] = numbers.get(word, 0)
+        for windows, items in self.by_length.values():
+            there = to[windows]
+            some = np.flatnonzero((there > 0).all(axis=1))
+            if len(some):
+                yield there[some], [items[i] for i in some]
+
+
+class ShardIndex:
+    """An FM-index over the runs of benchmark words in a shard."""
+
+    def __init__(self, numbers: np.ndarray, starts: np.ndarray, sigma: int, shortest: int):
+        """numbers: 0 for words that no item has; starts: where documents begin; sigma: numbers used; shortest: words of the shortest window."""
+        self.index = None
+        if not len(numbers) or not shortest:
             return
-        # Runs of vocabulary words within a document, of at least the shortest window.
         cut = np.zeros(len(numbers) + 1, bool)
         cut[starts[starts < len(numbers)]] = True
         inside = numbers > 0
         begins = np.flatnonzero(inside & (cut[:-1] | np.concatenate([[True], ~inside[:-1]])))
         ends = np.flatnonzero(inside & (cut[1:] | np.concatenate([~inside[1:], [True]]))) + 1
-        long = ends - begins >= self.shortest
+        long = ends - begins >= shortest
         begins, sizes = begins[long], (ends - begins)[long]
         if not len(begins):
             return
         # Each run and a 0 after it; origin: the word that each symbol is.
         offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
-        origin = np.arange(offsets[-1]) + np.repeat(begins - offsets[:-1], sizes + 1)
-        seq = np.concatenate([numbers, [0]])[origin]
+        self.origin = np.arange(offsets[-1]) + np.repeat(begins - offsets[:-1], sizes + 1)
+        seq = np.concatenate([numbers, [0]])[self.origin]
         seq[offsets[1:] - 1] = 0
-        index = FMIndex(seq, len(self.vocabulary) + 1)
-        for n, (patterns, items) in self.by_length.items():
-            low, high = index.ranges(patterns)
-            found = np.flatnonzero(high > low)
-            if not len(found):
-                continue
-            counts = (high - low)[found]
-            rows = np.repeat(low[found] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-            for place, pattern in zip(origin[index.locate(rows)].tolist(), np.repeat(found, counts).tolist(), strict=True):
-                yield place, n, items[pattern]
+        self.index = FMIndex(seq, sigma)
+
+    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, pattern) of every occurrence."""
+        low, high = self.index.ranges(patterns)
+        found = np.flatnonzero(high > low)
+        counts = (high - low)[found]
+        if not len(found):
+            return counts, found
+        rows = np.repeat(low[found] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        return self.origin[self.index.locate(rows)], np.repeat(found, counts)
 
 
 def compile_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[Windows]:
@@ -225,10 +250,18 @@ def compile_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int
 
 
 class Finder:
-    """Finds hit words and items in lists of texts; blocks are broadcast and read one at a time."""
+    """Finds hit words and items in lists of texts, from compiled blocks in the shared folder."""
+
+    def __init__(self, folder: str, names: list[str]):
+        self.folder, self.names = folder, names
+
+    def block(self, name: str) -> Windows:
+        def read() -> Windows:
+            store, place = open_store(self.folder)
+            with store.open_input_stream(f"{place}/{name}") as file:
+                return pickle.loads(file.read())
 
-    def __init__(self, blocks):
-        self.blocks = blocks
+        return kept_in_worker(("windows", self.folder, name), read)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]]]:
         """Words, merged hit spans (in words) and item ids of each text."""
@@ -237,33 +270,50 @@ class Finder:
         starts = np.concatenate([[0], np.cumsum(sizes)])
         edge = np.zeros(starts[-1] + 1, np.int32)
         items: list[set[str]] = [set() for _ in texts]
-        for block in self.blocks:
-            windows = block.value
-            get = windows.vocabulary.get
-            numbers = np.fromiter((get(w, 0) for one in words for w in one), np.int64, starts[-1])
-            for place, n, owners in windows.search(numbers, starts):
-                edge[place] += 1
-                edge[place + n] -= 1
-                items[np.searchsorted(starts, place, "right") - 1].update(windows.ids[i] for i in owners)
+        own: dict[bytes, int] = {}  # the shard's words that some item has, numbered from 1
+        shortest = 0
+        distinct = set(chain.from_iterable(words)) if self.names else set()
+        for name in self.names:
+            block = self.block(name)
+            shortest = min(shortest or block.shortest, block.shortest or shortest)
+            for w in distinct & block.vocabulary.keys():
+                own.setdefault(w, len(own) + 1)
+        if own:
+            get = own.get
+            index = ShardIndex(np.fromiter((get(w, 0) for one in words for w in one), np.int64, starts[-1]), starts, len(own) + 1, shortest)
+            for name in self.names if index.index else ():
+                block = self.block(name)
+                for patterns, owners in block.patterns(own):
+                    n = patterns.shape[1]
+                    for place, pattern in zip(*(x.tolist() for x in index.search(patterns)), strict=True):
+                        edge[place] += 1
+                        edge[place + n] -= 1
+                        items[np.searchsorted(starts, place, "right") - 1].update(block.ids[i] for i in owners[pattern])
         hit = np.cumsum(edge[:-1]) > 0
         spans: list[list[tuple[int, int]]] = []
         for i, owners in enumerate(items):
-            own = np.diff(np.concatenate([[0], hit[starts[i] : starts[i + 1]].astype(np.int8), [0]])) if owners else np.zeros(0)
-            spans.append(list(zip(np.flatnonzero(own == 1).tolist(), np.flatnonzero(own == -1).tolist(), strict=True)))
+            inside = np.diff(np.concatenate([[0], hit[starts[i] : starts[i + 1]].astype(np.int8), [0]])) if owners else np.zeros(0)
+            spans.append(list(zip(np.flatnonzero(inside == 1).tolist(), np.flatnonzero(inside == -1).tolist(), strict=True)))
         return sizes, spans, items
 
 
 def _finder(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> Finder:
-    context = docs.sparkSession.sparkContext
-    return Finder([context.broadcast(x) for x in compile_blocks(benchmark, window, block_bytes)])
+    folder, names = new_folder(docs.sparkSession, "windows"), []
+    store, place = open_store(folder)
+    store.create_dir(place, recursive=True)
+    for block in compile_blocks(benchmark, window, block_bytes):
+        names.append(f"{len(names):06d}.windows")
+        with store.open_output_stream(f"{place}/{names[-1]}") as out:
+            out.write(pickle.dumps(block))
+    return Finder(folder, names)
 
 
-def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_bytes: int = CHUNK_BYTES) -> DataFrame:
+def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, n_items, item_ids, spans (in words, merged), contaminated."""
     find = _finder(docs, benchmark, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, texts in text_chunks(batches, "text", shard_bytes):
+        for chunk, texts in text_chunks(batches, "text", shard_bytes, keeps=True):
             sizes, spans, items = find(texts)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -282,7 +332,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WI
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, item_ids array<string>, spans array<struct<begin: long, end: long>>, contaminated boolean")
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, mode: str = "drop", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_bytes: int = CHUNK_BYTES) -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, mode: str = "drop", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The documents, all columns as they were, without contaminated ones ("drop") or without the hit words' ranges of text ("cut")."""
     if mode not in ("drop", "cut"):
         raise ValueError(f"mode is drop or cut, not {mode}")
@@ -296,7 +346,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, mode: str = "dro
         return "\n".join([*kept, text[last:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, texts in text_chunks(batches, "text", shard_bytes):
+        for chunk, texts in text_chunks(batches, "text", shard_bytes, keeps=True):
             _, spans, _ = find(texts)
             if mode == "drop":
                 yield chunk.filter(pc.invert(pa.array([bool(x) for x in spans], pa.bool_())))
