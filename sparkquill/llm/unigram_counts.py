@@ -31,8 +31,8 @@ from sparkquill.llm.common import kept_in_worker, table, text_chunks
 
 MARK = "▁"
 UNKNOWN = 10.0
-#: Nodes of a worker's trie (about 0.3 KB each) beyond which it is begun anew, between shards.
-MOST_NODES = 400_000
+#: Nodes of a worker's trie (about 0.2 KB each) beyond which it is begun anew, between shards.
+MOST_NODES = 1_200_000
 #: Characters of a pre-token that the trie holds; the rest of a longer one is computed and not stored.
 DEEPEST = 200
 #: Text of a shard.
@@ -72,14 +72,14 @@ class TrieCounter:
         self.clear()
 
     def clear(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
+        self.child: dict[int, int] = {}  # node and character to node
         self.best, self.fewest = [0.0], [0]
         self.terminal: dict[str, int] = {}
 
     def insert(self, words: list[str]) -> Iterator[tuple[str, int]]:
         """Each of the new pre-tokens, in sorted order, with its count; the trie holds their first DEEPEST characters."""
         scores, longest, unknown = self.pieces.scores, self.pieces.longest, self.pieces.unknown
-        get, children = scores.get, self.children
+        get, child = scores.get, self.child
         # The current path: its nodes, and score and tokens of every prefix.
         path, best, fewest, last = [0], [0.0], [0], ""
         for word in words:
@@ -90,7 +90,8 @@ class TrieCounter:
             del path[same + 1 :], best[same + 1 :], fewest[same + 1 :]
             for end in range(same + 1, len(token) + 1):
                 char = token[end - 1]
-                node = children[path[-1]].get(char) if end <= DEEPEST else None
+                edge = path[-1] << 21 | ord(char)
+                node = child.get(edge) if end <= DEEPEST else None
                 if node is None:
                     if char in scores:
                         top, count = float("-inf"), 0
@@ -104,8 +105,7 @@ class TrieCounter:
                                 top, count = s, fewest[begin] + 1
                     self.made += 1
                     if end <= DEEPEST:
-                        node = children[path[-1]][char] = len(children)
-                        children.append({})
+                        node = child[edge] = len(self.best)
                         self.best.append(top)
                         self.fewest.append(count)
                 else:
@@ -119,7 +119,7 @@ class TrieCounter:
 
     def count(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
         """Pre-tokens and tokens of each text."""
-        if len(self.children) > self.kept:
+        if len(self.best) > self.kept:
             self.clear()
         words = [x.translate(_SPACES).split(" ") if x else [] for x in texts]
         known, deep = self.terminal, {}

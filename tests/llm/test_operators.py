@@ -172,7 +172,7 @@ def test_prefixes_are_computed_once():
     assert counter.made == before
     deep = "x" * (unigram_counts.DEEPEST + 5)
     first = counter.count([deep + " " + deep + "y"])
-    assert len(counter.children) < before + unigram_counts.DEEPEST + 2
+    assert len(counter.best) < before + unigram_counts.DEEPEST + 2
     assert counter.count([deep + " " + deep + "y"]) == first
     assert first[1] == [sum(unigram_counts.brute_force(x, counter.pieces)[1] for x in (deep, deep + "y"))]
 
