@@ -32,7 +32,9 @@ STEM_FROM = 5
 #: The last letters of what the rules replace.
 STEM_ENDS = sorted({ending[-1] for pattern, _ in STEM_RULES for ending in pattern.strip("()$").split("|")})
 SHORTEST_TOKEN = 2
-CLIP = {"snippet": 420, "heading": 200, "breadcrumb": 300, "file": 300, "term": 60, "context": 400, "synopsis": 220}
+CLIP = {"snippet": 420, "synopsis": 220}
+META_KEYS = ("titre", "title", "type", "themes", "tags", "source", "video", "statut", "temporalite")
+SYNOPSIS_KEYS = ("resume", "résumé", "summary", "synopsis", "description", "titre", "title")
 
 # What sanitising removes or breaks up.
 ANSI = "\x1b\\[[0-9;?]*[ -/]*[@-~]"
@@ -118,6 +120,24 @@ def slugify(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fold(text), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
+def name_words(rel: Column) -> Column:
+    """A path's base name without its extension, as words."""
+    return F.regexp_replace(F.regexp_replace(F.element_at(F.split(rel, "/"), -1), r"\.[^.]+$", ""), "[-_]", " ")
+
+
+def meta_text(rel: Column, title: Column, frontmatter: Column, anchors: Column) -> Column:
+    """What identifies a file, for the meta field of all its sections: name, path, title, frontmatter values, text of links to it."""
+    values = F.filter(F.array(*[F.regexp_replace(F.element_at(frontmatter, k), r'[\[\]"]', " ") for k in META_KEYS]), lambda v: v.isNotNull() & (v != ""))
+    none = F.lit("")
+    return F.array_join(F.concat(F.array(name_words(rel), F.regexp_replace(rel, "[/_-]", " "), F.coalesce(title, none)), F.coalesce(values, F.array().cast("array<string>")), F.array(F.coalesce(anchors, none))), " ")
+
+
+def synopsis(rel: Column, title: Column, frontmatter: Column) -> Column:
+    """One line from the frontmatter, else the title, else the name; never from the text."""
+    given = [F.nullif(F.element_at(frontmatter, k), F.lit("")) for k in SYNOPSIS_KEYS]
+    return sanitize(js_trim(F.regexp_replace(F.coalesce(*given, F.nullif(title, F.lit("")), name_words(rel)), r"\s+", " ")), CLIP["synopsis"])
+
+
 def js_trim(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\u00A0\uFEFF]+|[\s\u00A0\uFEFF]+\z", "")
 

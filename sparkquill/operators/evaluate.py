@@ -108,6 +108,13 @@ def thresholds(hits: DataFrame) -> DataFrame:
     return one.select("good_least", "weak_most", S.threshold_between(F.col("good_least"), F.col("weak_most")).alias("threshold"), S.half_up(F.least(F.lit(1.5), F.coalesce(F.col("r") * 0.95, F.lit(1.5))), 2).alias("ratio"))
 
 
+def receipt(hits: DataFrame, config: str, at: Column) -> DataFrame:
+    """One row that records a calibration: metrics of the good fixtures, thresholds, the constants they were measured with, a hash of the configuration."""
+    constants = {**FIELDS, "k1": S.K1, "b": S.B}
+    row = metrics(hits.where("kind = 'good'")).drop("trial").crossJoin(thresholds(hits))
+    return row.select("*", *[F.lit(v).alias(k) for k, v in constants.items()], F.sha1(F.lit(config)).alias("config_sha1"), at.alias("at"))
+
+
 def navigational_hits(results: DataFrame, sections: DataFrame) -> DataFrame:
     """trial, q_id, navigational: how many results are sections that only lead elsewhere."""
     headings = sections.where(T.fold(F.col("heading")).rlike(NAVIGATIONAL_HEADING)).select("file_id", "line")

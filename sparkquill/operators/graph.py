@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkquill.functions.scalars import half_up, hash_seed
 from sparkquill.functions.text import fold
+from sparkquill.operators.lifecycle import replace_table
+from sparkquill.operators.search import ranked_rows
 
 LAYOUT_ROUNDS, GRAVITY = 200, 0.25
 LARGEST_LAYOUT = 5000
@@ -80,7 +82,8 @@ def related(edges: DataFrame, start: list, depth: int = 2) -> DataFrame:
 
 def ranked_related(seen: DataFrame, node_degrees: DataFrame) -> DataFrame:
     total = node_degrees.select("node", (F.col("inbound") + F.col("outbound")).alias("degree"))
-    return seen.where("depth > 0").join(total, "node").select("node", F.col("depth").cast("long").alias("depth"), F.row_number().over(Window.orderBy("depth", F.desc("degree"), "node")).cast("long").alias("rank"))
+    rows = ranked_rows(seen.where("depth > 0").join(total, "node"), [("depth", False), ("degree", True)], [F.asc("node")])
+    return rows.select("node", F.col("depth").cast("long").alias("depth"), F.col("rank").cast("long").alias("rank"))
 
 
 def layout(nodes: DataFrame, edges: DataFrame, positions: DataFrame | None = None, rounds: int = LAYOUT_ROUNDS) -> DataFrame:
@@ -126,6 +129,26 @@ def layout(nodes: DataFrame, edges: DataFrame, positions: DataFrame | None = Non
     return spark.createDataFrame(pd.DataFrame({"node": [str(x) for x in names], "x": where[:, 0], "y": where[:, 1]})).select("node", half_up(F.col("x"), 1).alias("x"), half_up(F.col("y"), 1).alias("y"))
 
 
+def write(nodes: DataFrame, edges: DataFrame, path: str, rounds: int = LAYOUT_ROUNDS) -> None:
+    """Stores the graph as tables nodes (with degrees and positions), edges and stats; the layout starts from the positions stored before.
+
+    A graph that lost more than a tenth of its nodes is refused.
+    """
+    spark = nodes.sparkSession
+    own = degrees(nodes, edges)
+    old, before = None, None
+    try:
+        old = spark.read.parquet(f"{path}/nodes")
+        before = old.count()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    placed = layout(own.select("node"), edges, old, rounds)
+    replace_table(own.join(placed, "node", "left"), f"{path}/nodes", before)
+    replace_table(edges, f"{path}/edges")
+    replace_table(stats(own, edges), f"{path}/stats")
+
+
 def normalised(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A graph document repaired: nodes with defaults, a ghost for every end of an edge that no node has."""
     fixed = nodes.select("id", F.coalesce("label", "id").alias("label"), F.coalesce(F.try_to_number(F.col("size").cast("string"), F.lit("999999999")), F.lit(0)).cast("long").alias("size"), F.coalesce("ghost", F.lit(False)).alias("ghost")).where("id is not null").dropDuplicates(["id"])

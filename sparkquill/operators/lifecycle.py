@@ -41,6 +41,18 @@ def may_replace(old_rows: int, new_rows: int, tolerance: float = SHRINK_TOLERANC
     return new_rows >= int(old_rows * tolerance)
 
 
+def work_waits(drafts: DataFrame, unprocessed: DataFrame) -> DataFrame:
+    """One row: drafts, unprocessed, and whether either leaves work to do."""
+    both = drafts.agg(F.count("*").alias("drafts")).crossJoin(unprocessed.agg(F.count("*").alias("unprocessed")))
+    return both.withColumn("work", (F.col("drafts") > 0) | (F.col("unprocessed") > 0))
+
+
+def cooling_down(runs: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """One row: the last run (at), and whether it is less than so many hours ago."""
+    last = runs.agg(F.max("at").alias("last"))
+    return last.withColumn("cooling_down", F.coalesce(F.unix_millis(now) - F.unix_millis("last") < hours * 3_600_000, F.lit(False)))
+
+
 def soft_deleted(notes: DataFrame, doomed: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
     """The notes that stay, and manifest rows of those that went; raw notes always stay."""
     gone = notes.where("zone <> 'raw'").join(doomed.select("file_id").distinct(), "file_id", "left_semi")

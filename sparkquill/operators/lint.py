@@ -11,8 +11,11 @@ from sparkquill.functions.text import fold
 # Fixed values of the lint contract.
 STALE_DAYS = 90
 BUDGETS = {"index": (200, 25_600), "manual": (200, 12_288)}
+FAILING = ("index_budget", "manual_budget")
 EVIDENCE_TRAIL = r"(?im)^#{2,6}\s+fil de preuves\s*$"
 SHORTEST_KEY_WORD = 4
+#: Characters of a text part that are joined before parts are compared.
+LEAD = 8
 
 
 def finding(category: str, subject: Column, detail: Column) -> list[Column]:
@@ -67,17 +70,34 @@ def not_mentioned(files: DataFrame, index: DataFrame) -> DataFrame:
     return files.crossJoin(F.broadcast(index.limit(1).select(F.col("text").alias("index_text")))).where(~F.col("index_text").contains(F.col("slug"))).drop("index_text")
 
 
+def contained(texts: DataFrame, key: str, text: str, parts: DataFrame, part: str) -> DataFrame:
+    """key, part of all texts that contain a part: texts' pieces of characters meet the parts' beginnings in an equi-join. An empty part is in none."""
+    known = parts.select(part).where(F.length(part) > 0).distinct().withColumn("lead", F.left(part, F.lit(LEAD)))
+    sizes = [r["n"] for r in known.select(F.length("lead").alias("n")).distinct().collect()]  # LEAD values at most
+
+    def pieces(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(n)))
+        return F.when(F.length(text) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    cut = texts.select(key, text, F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *map(pieces, sizes)))).alias("lead"))
+    return cut.join(known, "lead").where(F.col(text).contains(F.col(part))).select(key, part).distinct()
+
+
 def unprocessed(files: DataFrame, registry: DataFrame) -> DataFrame:
     """Raw files that no registry path names, wholly or in part; README and _ files do not count."""
     raw = files.where((F.col("zone") == "raw") & ~F.element_at(F.split("rel", "/"), -1).rlike("^(README|_)"))
-    named = F.col("rel").contains(F.col("path")) | F.col("path").contains(F.col("rel"))
-    return raw.join(registry.select("path").distinct(), named, "left_anti")
+    paths = registry.select("path").distinct()
+    wholly = contained(raw.select("rel").distinct(), "rel", "rel", paths, "path").select("rel")
+    partly = contained(paths, "path", "path", raw.select("rel").distinct(), "rel").select("rel")
+    return raw.join(wholly.unionByName(partly).distinct(), "rel", "left_anti")
 
 
 def self_sources(notes: DataFrame, slugs: DataFrame) -> DataFrame:
     """Notes that cite, among their sources, a note that the engine wrote itself."""
     cited = notes.select("file_id", F.explode("sources").alias("cited"))
-    return cited.join(slugs.select("slug", F.col("file_id").alias("written")), F.col("cited").contains(F.col("slug")) & (F.col("file_id") != F.col("written"))).select("file_id", "slug").distinct()
+    named = contained(cited.select("cited").distinct(), "cited", "cited", slugs, "slug")
+    both = cited.join(named, "cited").join(slugs.select("slug", F.col("file_id").alias("written")), "slug")
+    return both.where(F.col("file_id") != F.col("written")).select("file_id", "slug").distinct()
 
 
 def without_context(files: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -90,6 +110,17 @@ def contexts(files: DataFrame, prefixes: DataFrame) -> DataFrame:
     return hits.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.length("prefix").alias("n"), "prefix", "text"))), lambda x: x["text"]), " — ").alias("context"))
 
 
+def report(checks: dict[str, DataFrame], detail: dict[str, str] | None = None) -> DataFrame:
+    """category, subject, detail of all checks, and fails: whether a finding of the category makes the whole fail (budgets alone do)."""
+    out = None
+    for category, rows in checks.items():
+        subject = F.col(rows.columns[0])
+        more = F.col((detail or {})[category]) if category in (detail or {}) else F.lit("")
+        part = rows.select(*finding(category, subject, more), F.lit(category in FAILING).alias("fails"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def per_source(files: DataFrame) -> DataFrame:
     """source, files, bytes, lines and files by zone, with a total (source null)."""
     return files.rollup("source").agg(

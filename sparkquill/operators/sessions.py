@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkquill.functions.text import clip
+from sparkquill.functions.text import clip, is_tool_noise, redact
 
 # Fixed values of the capture contract.
 MESSAGE_CHARS, SESSION_CHARS, LEAST_HUMAN = 3000, 256_000, 3
@@ -36,3 +36,16 @@ def truncated(turns: DataFrame, message_chars: int = MESSAGE_CHARS, session_char
 def new_sessions(turns: DataFrame, captured: DataFrame) -> DataFrame:
     """Sessions whose first eight characters no captured file has."""
     return turns.withColumn("id8", F.substring("session", 1, 8)).join(captured.select("id8").distinct(), "id8", "left_anti")
+
+
+def captured(turns: DataFrame, existing: DataFrame) -> DataFrame:
+    """session, name, human, text of the sessions that no captured file has: meta rows and tool noise out, secrets masked,
+    messages clipped, too short sessions left out, turns of one role merged, sizes bounded. turns: session, turn, role, is_meta, text.
+    """
+    said = turns.where(F.col("role").isin("user", "assistant") & ~F.coalesce("is_meta", F.lit(False)) & ~is_tool_noise(F.col("text")) & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    fresh = new_sessions(said, existing)
+    enough = substantial(fresh).select("session", "human")
+    cut = truncated(fresh.withColumn("text", redact(F.col("text"))).join(enough.select("session"), "session", "left_semi"))
+    parts = merged(cut, F.lit(True)).select("session", F.struct("first", F.concat(F.lit("**"), "role", F.lit("**\n\n"), "text").alias("text")).alias("part"))
+    whole = parts.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["text"]), "\n\n").alias("text"))
+    return whole.join(enough, "session").select("session", F.concat(F.lit("session-"), F.substring("session", 1, 8), F.lit(".md")).alias("name"), "human", "text")

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkquill.functions.text import slugify
+
 # Patterns and sizes of the structure contract.
 WIKILINK = r"\[\[([^\]|#]+)(?:#([^\]|]+))?(?:\|([^\]]+))?\]\]"
 FENCE = r"^\s*(?:>\s*)*(```|~~~)"
@@ -151,3 +153,16 @@ def section_at(parts: DataFrame, line: int) -> DataFrame:
     near = Window.partitionBy("file_id").orderBy(away, "section")
     return parts.withColumn("nth", F.row_number().over(near)).where("nth = 1").drop("nth")
 
+
+
+def outline(texts: DataFrame) -> DataFrame:
+    """file_id, line, level, title of all headings."""
+    return sections(texts).where("level > 0").select("file_id", "line", "level", "title")
+
+
+def section_by_slug(parts: DataFrame, slug: str) -> DataFrame:
+    """Of each file, the first section whose title has the slug, else the first whose title's slug contains it."""
+    own = slugify(F.col("title"))
+    rank = F.when(own == slug, 0).when(own.contains(slug), 1)
+    order = Window.partitionBy("file_id").orderBy("rank", "section")
+    return parts.withColumn("rank", rank).where("rank is not null").withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth", "rank")

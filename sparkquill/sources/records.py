@@ -58,7 +58,8 @@ def property_list(content: Column) -> Column:
 
     @F.pandas_udf("label string, program string, hour int, minute int, weekday int")
     def run(values: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(x) or {} for x in values], columns=["label", "program", "hour", "minute", "weekday"])
+        rows = pd.DataFrame([one(x) or {} for x in values], columns=["label", "program", "hour", "minute", "weekday"], dtype=object)
+        return rows.astype(dict.fromkeys(("hour", "minute", "weekday"), "Int32"))
 
     return run(content)
 
