@@ -37,7 +37,7 @@ def debounced(events: DataFrame, key: str, gap: str) -> DataFrame:
 def upsert_stream(spark: SparkSession, path: str, schema: str, target: str, checkpoint: str, key: str, order: str) -> StreamingQuery:
     """Reads new Parquet files as they come and keeps, in target, the latest row of each key; a batch that runs again changes nothing.
 
-    Versions alternate between two folders, so a batch reads one and writes the other.
+    Each batch writes the whole table beside the old one and swaps it in.
     """
     from sparkquill.operators.lifecycle import replace_table
 
