@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ HEADING = r"^(#{1,6})\s+(.*)$"
 HEADING_TAIL = r"\s+#+\s*$"
 PREAMBLE = "(preamble)"
 MERGE_BELOW, SPLIT_ABOVE, NAVIGATIONAL_BELOW, NAVIGATIONAL_SHARE, FLOOR = 200, 3000, 400, 0.25, 0.4
+#: Files of an Arrow batch that are listed at a time.
+FILES_AT_ONCE = 64
 
 
 def lines(texts: DataFrame) -> DataFrame:
@@ -109,42 +113,53 @@ def split_ranges(text: str, most: int = SPLIT_ABOVE) -> list[tuple[int, int]]:
     return out
 
 
+def _merged(parts: list[dict]) -> list[dict]:
+    """Sections of one file, in order, as chunks that are not split yet."""
+    made, pending = [], None
+    for s in parts:
+        if s["navigational"]:
+            continue
+        body = s["body"]
+        bare = (body.partition("\n")[2] if s["level"] else body).strip()
+        if pending is not None:
+            s = s | {"line": pending["line"], "offset": pending["offset"], "body": pending["body"] + "\n" + body}
+            pending = None
+        if not bare:
+            pending = s
+        elif made and len(bare) < MERGE_BELOW:
+            made[-1]["body"] += "\n" + s["body"]
+        else:
+            made.append(dict(s))
+    if pending is not None:
+        if made:
+            made[-1]["body"] += "\n" + pending["body"]
+        else:
+            made.append(dict(pending))
+    return made
+
+
 def chunks(parts: DataFrame) -> DataFrame:
     """Chunks of sections(): navigational ones go, a heading alone joins the next, a short one joins the previous, long ones are split.
 
-    file_id, chunk, part, parts, line, title, breadcrumb, offset, text. A file is one group: a note, of bounded size.
+    file_id, chunk, part, parts, line, title, breadcrumb, offset, text. A file is one row: a note, of bounded size.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        made: list[dict] = []
-        pending = None
-        for s in pdf.sort_values("section").to_dict("records"):
-            body = s["body"]
-            if s["navigational"]:
-                continue
-            bare = body.split("\n", 1)[1] if s["level"] and "\n" in body else ("" if s["level"] else body)
-            if pending is not None:
-                s = s | {"line": pending["line"], "offset": pending["offset"], "body": pending["body"] + "\n" + body}
-                pending = None
-            if not bare.strip():
-                pending = s
-            elif made and len(bare.strip()) < MERGE_BELOW:
-                made[-1]["body"] += "\n" + s["body"]
-            else:
-                made.append(dict(s))
-        if pending is not None:
-            if made:
-                made[-1]["body"] += "\n" + pending["body"]
-            else:
-                made.append(dict(pending))
-        rows = []
-        for i, s in enumerate(made):
-            ranges = split_ranges(s["body"])
-            rows += [(s["file_id"], i, k, len(ranges), s["line"], s["title"], s["breadcrumb"], s["offset"] + a, s["body"][a:b]) for k, (a, b) in enumerate(ranges)]
-        return pd.DataFrame(rows, columns=["file_id", "chunk", "part", "parts", "line", "title", "breadcrumb", "offset", "text"])
+    names = ["file_id", "chunk", "part", "parts", "line", "title", "breadcrumb", "offset", "text"]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, FILES_AT_ONCE):
+                part, rows = batch.slice(at, FILES_AT_ONCE), []
+                for file_id, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    for i, s in enumerate(_merged(own)):
+                        ranges = split_ranges(s["body"])
+                        rows += [(file_id, i, k, len(ranges), s["line"], s["title"], s["breadcrumb"], s["offset"] + a, s["body"][a:b]) for k, (a, b) in enumerate(ranges)]
+                columns = zip(*rows) if rows else [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
     schema = "file_id string, chunk int, part int, parts int, line int, title string, breadcrumb string, offset long, text string"
-    return parts.withColumn("navigational", is_navigational(F.col("body"))).groupBy("file_id").applyInPandas(run, schema)
+    section = F.struct("section", "level", "title", "breadcrumb", "line", "offset", "body", is_navigational(F.col("body")).alias("navigational"))
+    return parts.groupBy("file_id").agg(F.array_sort(F.collect_list(section)).alias("own")).mapInArrow(run, schema)
 
 
 def section_at(parts: DataFrame, line: int) -> DataFrame:

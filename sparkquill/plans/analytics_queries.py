@@ -39,93 +39,67 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 # Structure: Markdown composed of document columns.
 
-#: A preamble, two levels of headings, a fence that hides a heading, wikilinks.
-_NOTE = ["lang", "'# ' || source", "lines[1]", "'## Part ' || doc_id || ' ##'", "lines[2]", "'```'", "'# not a heading'", "'```'", "'see [[' || source || '|alias]] and [[' || lang || '#part]]'", "'# Last'", "'### Deep'", "lines[1]"]
-_NOTE_SQL = f"""notes AS (SELECT file_id, {" || chr(10) || ".join(x.replace('lines[', "string_split(text, chr(10))[").replace('lines', 'lines') if 'lines[' not in x else f"coalesce(string_split(text, chr(10))[{x[6]}], '')" for x in _NOTE)} AS text FROM files)"""
 
-
-def _notes(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """Notes with the second line of each document under the second heading, or with all lines from the second on."""
-    files = _files(spark, d)
+def _notes(spark: SparkSession, d: str) -> DataFrame:
+    """Notes with a preamble, two levels of headings, all lines of the document, a fence that hides a heading, wikilinks."""
     lines = F.split("text", "\n", -1)
-    first, second = (F.coalesce(F.get(lines, F.lit(i)), F.lit("")) for i in (0, 1))
-    if whole:
-        second = F.coalesce(F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n"), F.lit(""))
-    rows = [F.col("lang"), F.concat(F.lit("# "), "source"), first, F.concat(F.lit("## Part "), F.col("doc_id").cast("string"), F.lit(" ##")), second, F.lit("```"), F.lit("# not a heading"), F.lit("```"), F.concat(F.lit("see [["), "source", F.lit("|alias]] and [["), "lang", F.lit("#part]]")), F.lit("# Last"), F.lit("### Deep"), first]
-    return files.select("file_id", "source", F.array_join(F.array(*rows), "\n").alias("text"))
-
-
-@query("fence_lines", f"WITH {sql.FILES}, {_NOTE_SQL}, l AS (SELECT file_id, i AS line, string_split(text, chr(10))[i] AS body FROM (SELECT *, unnest(range(1, 13)) AS i FROM notes)) SELECT file_id, line, body, regexp_matches(body, '^\\s*(?:>\\s*)*(```|~~~)') AS is_fence, coalesce(sum(CASE WHEN regexp_matches(body, '^\\s*(?:>\\s*)*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS in_fence FROM l")
+    first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
+    rest = F.coalesce(F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n"), F.lit(""))
+    rows = [F.col("lang"), F.concat(F.lit("# "), "source"), first, F.concat(F.lit("## Part "), F.col("doc_id").cast("string"), F.lit(" ##")), rest, F.lit("```"), F.lit("# not a heading"), F.lit("```"), F.concat(F.lit("see [["), "source", F.lit("|alias]] and [["), "lang", F.lit("#part]]")), F.lit("# Last"), F.lit("### Deep"), first]
+    return _files(spark, d).select("file_id", "source", F.array_join(F.array(*rows), "\n").alias("text"))
+
+
+#: The same notes, parsed line by line: p has lines with fences, s has sections.
+PARSED = f"""WITH {sql.FILES}, notes AS (SELECT file_id, source, lang || chr(10) || '# ' || source || chr(10) || split_part(text, chr(10), 1) || chr(10) || '## Part ' || doc_id || ' ##' || chr(10)
+  || array_to_string(string_split(text, chr(10))[2:], chr(10)) || chr(10) || '```' || chr(10) || '# not a heading' || chr(10) || '```' || chr(10)
+  || 'see [[' || source || '|alias]] and [[' || lang || '#part]]' || chr(10) || '# Last' || chr(10) || '### Deep' || chr(10) || split_part(text, chr(10), 1) AS text FROM files),
+l AS (SELECT file_id, i AS line, string_split(text, chr(10))[i] AS body FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM notes)),
+f AS (SELECT *, regexp_matches(body, '^\\s*(?:>\\s*)*(```|~~~)') AS is_fence FROM l),
+p AS (SELECT *, coalesce(sum(CASE WHEN is_fence THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS in_fence FROM f),
+h AS (SELECT *, CASE WHEN NOT is_fence AND NOT in_fence AND regexp_matches(body, '^(#{{1,6}})\\s+(.*)$') THEN length(regexp_extract(body, '^(#{{1,6}})\\s+(.*)$', 1)) END AS level,
+  regexp_replace(trim(regexp_extract(body, '^(#{{1,6}})\\s+(.*)$', 2)), '\\s+#+\\s*$', '') AS heading FROM p),
+n AS (SELECT *, CAST(count(level) OVER (PARTITION BY file_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section FROM h),
+s AS (SELECT file_id, section, coalesce(max(level), 0) AS level, coalesce(max(CASE WHEN level IS NOT NULL THEN heading END), '(preamble)') AS title, min(line) AS line, max(line) AS line_end, string_agg(body, chr(10) ORDER BY line) AS body FROM n GROUP BY file_id, section)"""
+
+
+@query("fence_lines", f"{PARSED} SELECT file_id, line, body, is_fence, in_fence FROM p")
 def fence_lines(spark, d):
     return structure.lines(_notes(spark, d)).select("file_id", F.col("line").cast("long").alias("line"), "body", "is_fence", "in_fence")
 
 
-_SECTIONS_SQL = f"""WITH {sql.FILES}, {_NOTE_SQL}, s AS (
-  SELECT file_id, text, unnest([
-    {{'section': 0, 'level': 0, 'title': '(preamble)', 'breadcrumb': '', 'a': 1, 'b': 1}},
-    {{'section': 1, 'level': 1, 'title': split_part(file_id, '/', 1), 'breadcrumb': split_part(file_id, '/', 1), 'a': 2, 'b': 3}},
-    {{'section': 2, 'level': 2, 'title': 'Part ' || split_part(file_id, '/', 2), 'breadcrumb': split_part(file_id, '/', 1) || ' > Part ' || split_part(file_id, '/', 2), 'a': 4, 'b': 9}},
-    {{'section': 3, 'level': 1, 'title': 'Last', 'breadcrumb': 'Last', 'a': 10, 'b': 10}},
-    {{'section': 4, 'level': 3, 'title': 'Deep', 'breadcrumb': 'Last > Deep', 'a': 11, 'b': 12}}]) AS x FROM notes)"""
-
-
-@query("sections", _SECTIONS_SQL + " SELECT file_id, CAST(x.section AS BIGINT) AS section, x.level AS level, x.title AS title, CAST(x.a AS BIGINT) AS line, CAST(x.b AS BIGINT) AS line_end, array_to_string(string_split(text, chr(10))[x.a:x.b], chr(10)) AS body FROM s")
+@query("sections", f"{PARSED} SELECT file_id, section, level, title, line, line_end, body FROM s")
 def sections(spark, d):
     rows = structure.sections(_notes(spark, d))
     return rows.select("file_id", F.col("section").cast("long").alias("section"), "level", "title", F.col("line").cast("long").alias("line"), F.col("line_end").cast("long").alias("line_end"), "body")
 
 
-@query("breadcrumbs", _SECTIONS_SQL + " SELECT file_id, CAST(x.section AS BIGINT) AS section, x.breadcrumb AS breadcrumb FROM s")
+#: Of each level, the last section of the level that no section above it has closed.
+_OPEN = ", ".join(f"last_value(CASE WHEN level = {k} THEN title WHEN level BETWEEN 1 AND {k - 1} THEN '' END IGNORE NULLS) OVER w" for k in range(1, 7))
+
+
+@query("breadcrumbs", f"{PARSED} SELECT file_id, section, array_to_string(list_filter([{_OPEN}], lambda x: x <> ''), ' > ') AS breadcrumb FROM s WINDOW w AS (PARTITION BY file_id ORDER BY section ROWS UNBOUNDED PRECEDING)")
 def breadcrumbs(spark, d):
     return structure.sections(_notes(spark, d)).select("file_id", F.col("section").cast("long").alias("section"), "breadcrumb")
 
 
-@query("navigational_sections", f"""WITH {sql.FILES}, t AS (SELECT file_id, '[[' || source || ']] [[' || lang || ']] ' || left(split_part(text, chr(10), 1), CAST(doc_id % 60 AS INTEGER)) AS body FROM files)
-SELECT file_id, length(trim(body)) < 400 AND list_sum(list_transform(regexp_extract_all(body, '\\[\\[([^\\]|#]+)(?:#([^\\]|]+))?(?:\\|([^\\]]+))?\\]\\]'), lambda x: length(x))) > length(trim(body)) * 0.25 AS navigational FROM t""")
+@query("navigational_sections", f"""WITH {sql.FILES}, t AS (SELECT file_id, regexp_replace('[[' || source || ']] [[' || lang || ']] ' || text, '^\\s+|\\s+$', '', 'g') AS body FROM files)
+SELECT file_id, length(body) < 400 AND list_sum(list_transform(regexp_extract_all(body, '\\[\\[([^\\]|#]+)(?:#([^\\]|]+))?(?:\\|([^\\]]+))?\\]\\]'), lambda x: length(x))) > length(body) * 0.25 AS navigational FROM t""")
 def navigational_sections(spark, d):
-    body = F.concat(F.lit("[["), "source", F.lit("]] [["), "lang", F.lit("]] "), F.left(F.substring_index("text", "\n", 1), (F.col("doc_id") % 60).cast("int")))
+    body = F.concat(F.lit("[["), "source", F.lit("]] [["), "lang", F.lit("]] "), "text")
     return _files(spark, d).select("file_id", structure.is_navigational(body).alias("navigational"))
 
 
-@query("navigational_sections_whole")
-def navigational_sections_whole(spark, d):
-    """The links before the whole text, which the SQL of navigational_sections cuts to 59 characters at most."""
-    body = F.concat(F.lit("[["), "source", F.lit("]] [["), "lang", F.lit("]] "), "text")
-    return _files(spark, d).select("file_id", structure.is_navigational(body).alias("navigational"))
+_LINK_PARTS = ", ".join(f"unnest(regexp_extract_all(plain, '\\[\\[([^\\]|#]+)(?:#([^\\]|]+))?(?:\\|([^\\]]+))?\\]\\]', {k})) AS g{k}" for k in (1, 2, 3))
 
 
-@query("wikilinks", f"WITH {sql.FILES} SELECT file_id, CAST(9 AS BIGINT) AS line, unnest([source, lang]) AS target, unnest([NULL, 'part']) AS anchor, unnest(['alias', NULL]) AS alias FROM files")
+@query("wikilinks", f"{PARSED}, b AS (SELECT file_id, line, regexp_replace(body, '`[^`]*`', '', 'g') AS plain FROM p WHERE NOT is_fence AND NOT in_fence), g AS (SELECT file_id, line, {_LINK_PARTS} FROM b) SELECT file_id, line, trim(g1) AS target, nullif(g2, '') AS anchor, nullif(g3, '') AS alias FROM g")
 def wikilinks(spark, d):
     return structure.links(_notes(spark, d)).withColumn("line", F.col("line").cast("long"))
 
 
 @query("chunk_merge_split")
 def chunk_merge_split(spark, d):
-    return structure.chunks(structure.sections(_notes(spark, d, whole=True)))
-
-
-# The SQL of the four queries above names lines 1 to 12; these have the whole documents, and no SQL.
-
-
-@query("fence_lines_whole")
-def fence_lines_whole(spark, d):
-    return structure.lines(_notes(spark, d, whole=True)).select("file_id", F.col("line").cast("long").alias("line"), "body", "is_fence", "in_fence")
-
-
-@query("sections_whole")
-def sections_whole(spark, d):
-    rows = structure.sections(_notes(spark, d, whole=True))
-    return rows.select("file_id", F.col("section").cast("long").alias("section"), "level", "title", F.col("line").cast("long").alias("line"), F.col("line_end").cast("long").alias("line_end"), "body")
-
-
-@query("breadcrumbs_whole")
-def breadcrumbs_whole(spark, d):
-    return structure.sections(_notes(spark, d, whole=True)).select("file_id", F.col("section").cast("long").alias("section"), "breadcrumb")
-
-
-@query("wikilinks_whole")
-def wikilinks_whole(spark, d):
-    return structure.links(_notes(spark, d, whole=True)).withColumn("line", F.col("line").cast("long"))
+    return structure.chunks(structure.sections(_notes(spark, d)))
 
 
 # Graph.
@@ -400,7 +374,7 @@ def promote_draft(spark, d):
 
 # Sessions.
 
-_TURNS = """t AS (SELECT conv_id AS session, turn, role, text FROM conversations WHERE role IN ('user', 'assistant') AND length(text) >= 200),
+_TURNS = f"""t AS (SELECT conv_id AS session, turn, role, text FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '' AND NOT regexp_matches(text, {sql.quoted(T.NOISE)})),
 m AS (SELECT *, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS change FROM t WINDOW w AS (PARTITION BY session ORDER BY turn)),
 i AS (SELECT *, CAST(sum(change) OVER (PARTITION BY session ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM m)"""
 
@@ -411,7 +385,7 @@ def _turns(spark, d):
 
 @query("session_merge", f"WITH {_TURNS} SELECT session, island, role, min(turn) AS first, count(*) AS n, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM i GROUP BY session, island, role")
 def session_merge(spark, d):
-    return sessions.merged(_turns(spark, d), F.length("text") >= 200)
+    return sessions.merged(_turns(spark, d), (F.trim("text") != "") & ~T.is_tool_noise(F.col("text")))
 
 
 @query("session_substance", "SELECT conv_id AS session, count(*) FILTER (role = 'user') AS human, count(*) AS messages FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'user') >= 3")
@@ -419,15 +393,9 @@ def session_substance(spark, d):
     return sessions.substantial(_turns(spark, d))
 
 
-@query("session_truncate", """WITH c AS (SELECT conv_id AS session, turn, role, CASE WHEN length(text) > 800 THEN left(text, 800) || chr(10) || '[…]' ELSE text END AS text FROM conversations),
-b AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY session ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c) SELECT session, turn, role, text FROM b WHERE before <= 3000""")
+@query("session_truncate", """WITH c AS (SELECT conv_id AS session, turn, role, CASE WHEN length(text) > 3000 THEN left(text, 3000) || chr(10) || '[…]' ELSE text END AS text FROM conversations),
+b AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY session ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c) SELECT session, turn, role, text FROM b WHERE before <= 256000""")
 def session_truncate(spark, d):
-    return sessions.truncated(_turns(spark, d), 800, 3000)
-
-
-@query("session_truncate_contract")
-def session_truncate_contract(spark, d):
-    """The limits of the contract, where session_truncate has lower ones so that the test tables reach them."""
     return sessions.truncated(_turns(spark, d))
 
 

@@ -24,40 +24,20 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-# Notes with all lines of each document (see analytics_queries._notes), parsed line by line.
-
-_WHOLE = f"""WITH {sql.FILES}, notes AS (SELECT file_id, source, lang || chr(10) || '# ' || source || chr(10) || split_part(text, chr(10), 1) || chr(10) || '## Part ' || doc_id || ' ##' || chr(10)
-  || array_to_string(string_split(text, chr(10))[2:], chr(10)) || chr(10) || '```' || chr(10) || '# not a heading' || chr(10) || '```' || chr(10)
-  || 'see [[' || source || '|alias]] and [[' || lang || '#part]]' || chr(10) || '# Last' || chr(10) || '### Deep' || chr(10) || split_part(text, chr(10), 1) AS text FROM files),
-l AS (SELECT file_id, i AS line, string_split(text, chr(10))[i] AS body FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM notes)),
-f AS (SELECT *, regexp_matches(body, '^\\s*(?:>\\s*)*(```|~~~)') AS is_fence FROM l),
-p AS (SELECT *, coalesce(sum(CASE WHEN is_fence THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS in_fence FROM f),
-h AS (SELECT *, CASE WHEN NOT is_fence AND NOT in_fence AND regexp_matches(body, '^(#{{1,6}})\\s+(.*)$') THEN length(regexp_extract(body, '^(#{{1,6}})\\s+(.*)$', 1)) END AS level,
-  regexp_replace(trim(regexp_extract(body, '^(#{{1,6}})\\s+(.*)$', 2)), '\\s+#+\\s*$', '') AS heading FROM p),
-n AS (SELECT *, CAST(count(level) OVER (PARTITION BY file_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section FROM h),
-s AS (SELECT file_id, section, coalesce(max(level), 0) AS level, coalesce(max(CASE WHEN level IS NOT NULL THEN heading END), '(preamble)') AS title, min(line) AS line, max(line) AS line_end, string_agg(body, chr(10) ORDER BY line) AS body FROM n GROUP BY file_id, section)"""
-
-for _name, _select in (
-    ("fence_lines_whole", "SELECT file_id, line, body, is_fence, in_fence FROM p"),
-    ("sections_whole", "SELECT file_id, section, level, title, line, line_end, body FROM s"),
-):
-    ORACLES[_name] = f"{_WHOLE} {_select}"
-
-
-@query("outline", f"{_WHOLE} SELECT file_id, line, level, title FROM s WHERE level > 0")
+@query("outline", f"{A.PARSED} SELECT file_id, line, level, title FROM s WHERE level > 0")
 def outline(spark, d):
-    return structure.outline(A._notes(spark, d, whole=True)).withColumn("line", F.col("line").cast("long"))
+    return structure.outline(A._notes(spark, d)).withColumn("line", F.col("line").cast("long"))
 
 
-@query("show_line", f"{_WHOLE}, a AS (SELECT *, CASE WHEN 9 BETWEEN line AND line_end THEN 0 ELSE least(abs(line - 9), abs(line_end - 9)) END AS away FROM s) SELECT file_id, section, title, line, line_end FROM a QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY away, section) = 1")
+@query("show_line", f"{A.PARSED}, a AS (SELECT *, CASE WHEN 9 BETWEEN line AND line_end THEN 0 ELSE least(abs(line - 9), abs(line_end - 9)) END AS away FROM s) SELECT file_id, section, title, line, line_end FROM a QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY away, section) = 1")
 def show_line(spark, d):
-    found = structure.section_at(structure.sections(A._notes(spark, d, whole=True)), 9)
+    found = structure.section_at(structure.sections(A._notes(spark, d)), 9)
     return found.select("file_id", F.col("section").cast("long").alias("section"), "title", F.col("line").cast("long").alias("line"), F.col("line_end").cast("long").alias("line_end"))
 
 
-@query("show_slug", f"{_WHOLE}, a AS (SELECT *, {sql.slug('title')} AS slug FROM s) SELECT file_id, section, title FROM a WHERE contains(slug, 'part') QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY CASE WHEN slug = 'part' THEN 0 ELSE 1 END, section) = 1")
+@query("show_slug", f"{A.PARSED}, a AS (SELECT *, {sql.slug('title')} AS slug FROM s) SELECT file_id, section, title FROM a WHERE contains(slug, 'part') QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY CASE WHEN slug = 'part' THEN 0 ELSE 1 END, section) = 1")
 def show_slug(spark, d):
-    found = structure.section_by_slug(structure.sections(A._notes(spark, d, whole=True)), "part")
+    found = structure.section_by_slug(structure.sections(A._notes(spark, d)), "part")
     return found.select("file_id", F.col("section").cast("long").alias("section"), "title")
 
 

@@ -60,9 +60,9 @@ def scan_files_zones(spark, d):
     return first_zone(files_of(_docs(spark, d))).select("file_id", "source", "zone", "rel", "title")
 
 
-@query("fold_slugify", f"SELECT doc_id, {sql.fold('text')} AS folded, {sql.slug('split_part(text, chr(10), 1)')} AS slug FROM documents")
+@query("fold_slugify", f"SELECT doc_id, {sql.fold('text')} AS folded, {sql.slug('text')} AS slug FROM documents")
 def fold_slugify(spark, d):
-    return _docs(spark, d).select("doc_id", T.fold(F.col("text")).alias("folded"), T.slugify(F.substring_index("text", "\n", 1)).alias("slug"))
+    return _docs(spark, d).select("doc_id", T.fold(F.col("text")).alias("folded"), T.slugify(F.col("text")).alias("slug"))
 
 
 @query("stem_tokens", f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({sql.tokens('text')}) AS term FROM documents) GROUP BY ALL")

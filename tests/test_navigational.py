@@ -16,6 +16,6 @@ def test_whole_texts(spark, small, tmp_path):
         body = f"[[{r['source']}]] [[{r['lang']}]] {r['text']}".strip()
         links = re.findall(r"\[\[[^\]|#]+(?:#[^\]|]+)?(?:\|[^\]]+)?\]\]", body)
         want[f"{r['source']}/{r['doc_id']}"] = len(body) < 400 and sum(map(len, links)) > 0.25 * len(body)
-    got = {r["file_id"]: r["navigational"] for r in registry.QUERIES["navigational_sections_whole"](spark, str(tmp_path)).collect()}
+    got = {r["file_id"]: r["navigational"] for r in registry.QUERIES["navigational_sections"](spark, str(tmp_path)).collect()}
     assert got == want
     assert set(want.values()) == {True, False}

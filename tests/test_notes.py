@@ -122,7 +122,8 @@ def test_search_finds_titles_first(spark):
     assert search.search(sections, "xylophonie introuvable").count() == 0
     assert search.search(sections, "").count() == 0
     assert "kb/r.md" in [r["file_id"] for r in search.search(sections, "trop cher", raw=True).collect()]
-    labelled = search.evidence(search.search(sections, "répondre à trop cher"), search.query_terms(spark, "répondre à trop cher"), "répondre à trop cher")
+    titled = search.search(sections, "répondre à trop cher").join(sections.select("file_id", "line", "heading"), ["file_id", "line"])
+    labelled = search.evidence(titled, search.query_terms("répondre à trop cher"), "répondre à trop cher")
     assert labelled.orderBy("rank").first()["evidence"] == "exact_title"
 
 

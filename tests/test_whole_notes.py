@@ -31,7 +31,7 @@ def rows_of(spark, small, name):
 
 
 def test_lines_and_fences(spark, small, notes):
-    got = rows_of(spark, small, "fence_lines_whole")
+    got = rows_of(spark, small, "fence_lines")
     for file_id, (lines, _) in notes.items():
         open_, want = False, []
         for i, body in enumerate(lines):
@@ -42,7 +42,7 @@ def test_lines_and_fences(spark, small, notes):
 
 
 def test_sections_and_breadcrumbs(spark, small, notes):
-    got, crumbs = rows_of(spark, small, "sections_whole"), rows_of(spark, small, "breadcrumbs_whole")
+    got, crumbs = rows_of(spark, small, "sections"), rows_of(spark, small, "breadcrumbs")
     for file_id, (lines, _) in notes.items():
         rows = sorted(got[file_id], key=lambda r: r["section"])
         assert "\n".join(r["body"] for r in rows) == "\n".join(lines)
@@ -54,7 +54,7 @@ def test_sections_and_breadcrumbs(spark, small, notes):
 
 
 def test_links(spark, small, notes):
-    got = rows_of(spark, small, "wikilinks_whole")
+    got = rows_of(spark, small, "wikilinks")
     for file_id, (lines, _) in notes.items():
         line = len(lines) - 3
         assert {(r["line"], r["target"]) for r in got[file_id]} >= {(line, file_id.split("/")[0]), (line, lines[0])}
