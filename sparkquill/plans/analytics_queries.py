@@ -59,7 +59,7 @@ p AS (SELECT *, coalesce(sum(CASE WHEN is_fence THEN 1 ELSE 0 END) OVER (PARTITI
 h AS (SELECT *, CASE WHEN NOT is_fence AND NOT in_fence AND regexp_matches(body, '^(#{{1,6}})\\s+(.*)$') THEN length(regexp_extract(body, '^(#{{1,6}})\\s+(.*)$', 1)) END AS level,
   regexp_replace(trim(regexp_extract(body, '^(#{{1,6}})\\s+(.*)$', 2)), '\\s+#+\\s*$', '') AS heading FROM p),
 n AS (SELECT *, CAST(count(level) OVER (PARTITION BY file_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section FROM h),
-s AS (SELECT file_id, section, coalesce(max(level), 0) AS level, coalesce(max(CASE WHEN level IS NOT NULL THEN heading END), '(preamble)') AS title, min(line) AS line, max(line) AS line_end, string_agg(body, chr(10) ORDER BY line) AS body FROM n GROUP BY file_id, section)"""
+s AS (SELECT file_id, section, CAST(coalesce(max(level), 0) AS INTEGER) AS level, coalesce(max(CASE WHEN level IS NOT NULL THEN heading END), '(preamble)') AS title, min(line) AS line, max(line) AS line_end, string_agg(body, chr(10) ORDER BY line) AS body FROM n GROUP BY file_id, section)"""
 
 
 @query("fence_lines", f"{PARSED} SELECT file_id, line, body, is_fence, in_fence FROM p")
