@@ -1,22 +1,25 @@
 """Embedding near-deduplication with spherical-cap filters.
 
-A label of at most EXACT distinct vectors is one filter: all its pairs are compared. For larger labels,
-filter directions are a random product code: the rotated space is cut into BLOCKS parts, each part has
+Filter directions are a random product code: the rotated space is cut into BLOCKS parts, each part has
 a codebook of random unit vectors, and every tuple of code words is a direction. A vector goes to the
 CAPTURES filters whose directions are nearest to it, so none is left without; list decoding finds them
 without looking at the others, as the best sums of two sorted lists lie under a hyperbola of ranks.
-Vectors of one label and filter are compared exactly, in double precision.
+Vectors of one label and filter are compared exactly, in double precision. Labels of every size go
+this way.
 
-The number of filters follows from the size of the largest label. Two vectors of a larger label that
-share no filter are missed; the README has the share measured at cosine 0.98.
+The number of filters follows from the size of the largest label. Two vectors that share no filter are
+missed; the README has the share measured at cosine 0.98.
 
 Vectors of a label that are equal component for component are one class; classes are compared, with
-their sizes. A filter's members are cut into tiles of TILE rows and every pair of tiles is a group of
+their sizes. A filter of more than TILE members is cut into tiles and every pair of tiles is a group of
 its own, so no task holds a whole hot filter. A group reports per class how many vectors it links to
 (a pair counts in the smallest filter that both share) and one edge per class to the smallest class of
 its linked part, never pairs. A class's node begins with its smallest vec_id, so the root of a
 component names the component, and nothing is gathered by component.
 
+Vectors go once through a shuffle, in the width that they have in the table; the hot filters are
+counted before, from their numbers alone.
+
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
 components, and rows with a null label, link with nothing; a null vec_id forms no group of its own;
 rows that repeat a vec_id are each reported and link as different vectors; other columns are ignored.
@@ -25,11 +28,14 @@ rows that repeat a vec_id are each reported and link as different vectors; other
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +48,6 @@ CAPTURES = 24
 MEMBERS = 24
 LARGEST_BOOK = 4096
 TILE = 1000
-#: Classes of a label up to which all pairs are compared; a row is copied once a tile, less often than into CAPTURES filters.
-EXACT = 20_000
 SEED = 11
 
 
@@ -73,6 +77,10 @@ class CapFilters:
             books.append(words @ rotation)
         return cls(books, captures)
 
+    @property
+    def directions(self) -> int:
+        return math.prod(map(len, self.books))
+
     def decode(self, unit: np.ndarray) -> np.ndarray:
         """The filters of every row, ascending: those of the `captures` best directions, or all if there are fewer."""
         total, code = np.zeros((len(unit), 1)), np.zeros((len(unit), 1), np.int64)
@@ -91,126 +99,144 @@ class CapFilters:
 
 
 def _split(vectors: DataFrame, sound: bool) -> DataFrame:
-    """vec_id, label and embedding (doubles) of the rows that can link, or of the others."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    """vec_id, label and embedding (floats, if the table has floats, or doubles) of the rows that can link, or of the others."""
+    width = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(f"array<{width}>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.coalesce(F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     return rows.where(good if sound else ~good)
 
 
-def _classes(good: DataFrame) -> DataFrame:
-    """key, label, vector (doubles as bytes), n of every distinct vector of a label, and each row's key beside it."""
+def _classes(good: DataFrame, kind: str) -> DataFrame:
+    """key, label, vector (as bytes of `kind`) of every row that can link; equal keys are one class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, at = batch.column(2), batch.column(2).offsets.to_numpy()
-            data = np.frombuffer((flat.values.to_numpy(zero_copy_only=False) + 0.0).astype("<f8").tobytes(), np.uint8)  # -0.0 becomes 0.0
-            vectors = [data[8 * a : 8 * b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            lists = batch.column(2)
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy()) * np.dtype(kind).itemsize
+            data = (lists.flatten().to_numpy(zero_copy_only=False) + 0.0).astype(kind).tobytes()  # -0.0 becomes 0.0
+            vectors = [data[a:b] for a, b in pairwise([0, *ends.tolist()])]
             keys = [hashlib.blake2b(label.encode() + b"\0" + v, digest_size=16).digest() for label, v in zip(batch.column(1).to_pylist(), vectors, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(vectors, pa.binary())], names=["vec_id", "label", "key", "vector"])
 
     return good.mapInArrow(run, "vec_id long, label string, key binary, vector binary")
 
 
-def _captured(classes: DataFrame, code: CapFilters, dim: int, exact: int) -> DataFrame:
-    """A row per class and filter: label, filter, node, vector, n, all (the class's filters, ascending)."""
+def _unit(vectors: pa.Array, dim: int, kind: str) -> np.ndarray:
+    """The vectors at length 1, in double precision; scaled first, so that no square is too large or too small."""
+    x = np.frombuffer(b"".join(vectors.to_pylist()), kind).reshape(-1, dim).astype("<f8")
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _captured(classes: DataFrame, code: CapFilters, dim: int, kind: str) -> DataFrame:
+    """A row per class of the usual length: label, node, vector, n, filters (ascending)."""
     shared = classes.sparkSession.sparkContext.broadcast(code)
+    number, arrow = ("int", pa.int32()) if code.directions < 2**31 else ("long", pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = [[0]] * batch.num_rows
-            large = np.flatnonzero(batch.column(4).to_numpy(zero_copy_only=False))
-            for part in (large[i : i + 1000] for i in range(0, len(large), 1000)):
-                unit = np.frombuffer(b"".join(batch.column(2).take(pa.array(part)).to_pylist()), "<f8").reshape(-1, dim)
-                for i, filters in zip(part, shared.value.decode(unit / np.linalg.norm(unit, axis=1, keepdims=True)), strict=True):
-                    lists[i] = filters
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(lists, pa.list_(pa.int64()))], names=["label", "node", "vector", "n", "filters"])
-
-    usual = classes.where(F.octet_length("vector") == 8 * dim)
-    large = usual.groupBy("label").agg(F.count("*").alias("c")).where(F.col("c") > exact).select("label", F.lit(True).alias("large"))
-    sized = usual.join(F.broadcast(large), "label", "left").select("label", "node", "vector", "n", F.coalesce("large", F.lit(False)).alias("large"))
-    listed = sized.mapInArrow(run, "label string, node binary, vector binary, n long, filters array<long>")
-    return listed.select("label", F.explode("filters").alias("filter"), "node", "vector", "n", F.col("filters").alias("all"))
-
-
-def _tile(keys: list[bytes], left: np.ndarray, unit: np.ndarray, n: np.ndarray, lists: list[np.ndarray], own: int, inside: bool, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links that a group adds to each member (a pair counts if `own` is its smallest shared filter), and each member's root."""
-    m = len(keys)
-    if inside:
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                filters = shared.value.decode(_unit(part.column(2), dim, kind))
+                begins = pa.array(np.arange(len(filters) + 1) * filters.shape[1], pa.int32())
+                lists = pa.ListArray.from_arrays(begins, pa.array(filters.ravel(), arrow))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=["label", "node", "vector", "n", "filters"])
+
+    usual = classes.where(F.octet_length("vector") == np.dtype(kind).itemsize * dim).select("label", "node", "vector", "n")
+    return usual.mapInArrow(run, f"label string, node binary, vector binary, n long, filters array<{number}>")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Of sorted batches: batches of whole groups, which agree in the first `keys` columns, and the groups' ends."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rest is not None:
+            batch = pa.concat_batches([rest, batch])
+        n, new = batch.num_rows, np.zeros(batch.num_rows - 1, bool)
+        for c in batch.columns[:keys]:
+            new |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        ends = (np.flatnonzero(new) + 1).tolist()
+        last = ends[-1] if ends else 0
+        if last:
+            yield batch.slice(0, last), [0, *ends]
+        rest = batch.slice(last)
+    if rest is not None:
+        yield rest, [0, rest.num_rows]
+
+
+def _compare(unit: np.ndarray, left: np.ndarray | None, n: np.ndarray, filters: np.ndarray, own: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that a group adds to each member (a pair counts if `own` is its smallest shared filter), and each member's root.
+
+    left marks the first of two tiles, whose pairs are compared; None stands for a tile with itself.
+    """
+    if left is None:
         a, b = np.nonzero(np.triu(unit @ unit.T >= cosine, 1))
     else:
         i, j = np.flatnonzero(left), np.flatnonzero(~left)
         a, b = np.nonzero(unit[i] @ unit[j].T >= cosine)
         a, b = i[a], j[b]
-    links, root = np.zeros(m, np.int64), np.arange(m)
-    if len(a):
-        width = max(map(len, lists))
-        pad = np.full((m, width), -1, np.int64)
-        for k, x in enumerate(lists):
-            pad[k, : len(x)] = x
-        for s in range(0, len(a), 20_000):
-            x, y = a[s : s + 20_000], b[s : s + 20_000]
-            shared = (pad[x][:, :, None] == pad[y][:, None, :]).any(axis=2) & (pad[x] >= 0)
-            mine = np.where(shared, pad[x], np.iinfo(np.int64).max).min(axis=1) == own
-            np.add.at(links, x[mine], n[y[mine]])
-            np.add.at(links, y[mine], n[x[mine]])
-        while True:  # smallest member reachable inside the group
-            least = root.copy()
-            np.minimum.at(least, a, root[b])
-            np.minimum.at(least, b, root[a])
-            least = least[least]
-            if (least == root).all():
+    links, root = np.zeros(len(n), np.int64), np.arange(len(n))
+    if not len(a):
+        return links, root
+    for s in range(0, len(a), 20_000):
+        x, y = a[s : s + 20_000], b[s : s + 20_000]
+        mine, unsure = np.ones(len(x), bool), np.arange(len(x))
+        for k in range(filters.shape[1]):
+            lower = filters[x[unsure], k]
+            unsure, lower = unsure[lower < own], lower[lower < own]
+            if not len(unsure):
                 break
-            root = least
-    return links, root
-
-
-def _compared(captured: DataFrame, dim: int, cosine: float) -> DataFrame:
+            shared = (filters[y[unsure]] == lower[:, None]).any(axis=1)
+            mine[unsure[shared]] = False
+            unsure = unsure[~shared]
+        np.add.at(links, x[mine], n[y[mine]])
+        np.add.at(links, y[mine], n[x[mine]])
+    while True:  # smallest member reachable inside the group
+        least = root.copy()
+        np.minimum.at(least, a, root[b])
+        np.minimum.at(least, b, root[a])
+        least = least[least]
+        if (least == root).all():
+            return links, root
+        root = least
+
+
+def _compared(captured: DataFrame, dim: int, kind: str, cosine: float) -> DataFrame:
     """Per group and class with links: node, links, root (a class of the same component)."""
-    counts = captured.groupBy("label", "filter").agg(F.count("*").alias("m")).where("m > 1")
-    sized = captured.join(counts, ["label", "filter"]).withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    tiled = sized.withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = tiled.select("label", "filter", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "node", "vector", "n", "all")
+    counts = captured.select("label", F.explode("filters").alias("filter")).groupBy("label", "filter").agg(F.count("*").alias("m"))
+    hot = written(counts.where(F.col("m") > TILE).select("label", "filter", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "hot-filters")
+    rows = captured.select("label", F.explode("filters").alias("filter"), "node", "vector", "n", F.col("filters").alias("all"))
+    sized = rows.join(hot, ["label", "filter"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    tiled = sized.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    grouped = tiled.select("label", "filter", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "node", "vector", "n", "all")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        group = None
-
-        def done() -> pa.RecordBatch | None:
-            if len(held) < 2:
-                return None
-            keys = [x[1] for x in held]
-            vectors = np.frombuffer(b"".join(x[2] for x in held), "<f8").reshape(-1, dim)
-            unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-            left = np.array([x[0] == group[2] for x in held])
-            order = sorted(range(len(keys)), key=keys.__getitem__)
-            lists = [np.array(held[i][4], np.int64) for i in order]
-            keys = [keys[i] for i in order]
-            links, root = _tile(keys, left[order], unit[order], np.array([held[i][3] for i in order]), lists, group[1], group[2] == group[3], cosine)
-            some = np.flatnonzero((links > 0) | (root != np.arange(len(keys))))
-            return pa.RecordBatch.from_pydict({"node": pa.array([keys[i] for i in some], pa.binary()), "links": pa.array(links[some]), "root": pa.array([keys[root[i]] for i in some], pa.binary())})
-
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for label, code, p, q, *rest in zip(*columns, strict=True):
-                if (label, code, p, q) != group:
-                    if (out := done()) is not None and out.num_rows:
-                        yield out
-                    group, held = (label, code, p, q), []
-                held.append(rest)
-        if (out := done()) is not None and out.num_rows:
-            yield out
-
-    dealt = rows.repartition("label", "filter", "p", "q").sortWithinPartitions("label", "filter", "p", "q")
+        for batch, ends in _whole_groups(batches, 4):
+            own, p, q, tile = (batch.column(k).to_numpy() for k in (1, 2, 3, 4))
+            n, unit = batch.column(7).to_numpy(), _unit(batch.column(6), dim, kind)
+            filters = batch.column(8).flatten().to_numpy().reshape(len(n), -1)
+            links, root = np.zeros(len(n), np.int64), np.arange(len(n))
+            for a, b in pairwise(ends):
+                if b - a > 1:
+                    left = None if p[a] == q[a] else tile[a:b] == p[a]
+                    links[a:b], first = _compare(unit[a:b], left, n[a:b], filters[a:b], own[a], cosine)
+                    root[a:b] = first + a
+            some = np.flatnonzero((links > 0) | (root != np.arange(len(n))))
+            if len(some):
+                node = batch.column(5)
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(some)), pa.array(links[some]), node.take(pa.array(root[some]))], names=["node", "links", "root"])
+
+    dealt = grouped.repartition("label", "filter", "p", "q").sortWithinPartitions("label", "filter", "p", "q", "node")
     return dealt.mapInArrow(run, "node binary, links long, root binary")
 
 
 def linked(vectors: DataFrame, cosine: float = COSINE, captures: int = CAPTURES) -> DataFrame:
     """A row per vector: vec_id, n_links, component_id (smallest vec_id reachable)."""
-    keyed = written(_classes(_split(vectors, True)), "vectors")
+    good = _split(vectors, True)
+    kind = "<f4" if good.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+    keyed = written(_classes(good, kind), "vectors")
     classes = keyed.groupBy("key").agg(F.any_value("label").alias("label"), F.any_value("vector").alias("vector"), F.count("*").alias("n"), F.min("vec_id").alias("first"))
     no_id = F.when(F.col("first").isNull(), "01").otherwise("00")
     node = F.concat(F.unhex(no_id), ordered_bytes(F.coalesce("first", F.lit(0).cast("long"))), "key").alias("node")
@@ -219,10 +245,11 @@ def linked(vectors: DataFrame, cosine: float = COSINE, captures: int = CAPTURES)
     rest = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
     if usual is None:
         return rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    dim = usual["bytes"] // 8
+    dim = usual["bytes"] // np.dtype(kind).itemsize
     largest = classes.groupBy("label").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0]
     code = CapFilters.build(dim, largest, captures)
-    found = written(_compared(_captured(classes, code, dim, EXACT), dim, cosine), "found")
+    captured = written(_captured(classes, code, dim, kind), "captured")
+    found = written(_compared(captured, dim, kind, cosine), "found")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     smallest = F.when(F.col("root").isNull(), F.col("first")).when(F.hex(F.substring("root", 1, 1)) == "00", long_of(F.substring("root", 2, 8)))

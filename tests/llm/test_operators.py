@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,9 +326,7 @@ def test_cap_filters_are_the_nearest_directions():
     assert (code.decode(unit) == np.sort(np.argsort(-sums, axis=1)[:, :10], axis=1)).all()
 
 
-@pytest.mark.parametrize("exact", [0, 20_000])
-def test_cap_filters_link_every_pair(spark, monkeypatch, exact):
-    monkeypatch.setattr(cap_filters, "EXACT", exact)
+def test_cap_filters_link_every_pair(spark):
     rng = np.random.default_rng(9)
     a = rng.normal(size=(700, 64))
     rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(np.concatenate([a, a + 0.18 * rng.normal(size=a.shape)]))]
@@ -339,6 +338,24 @@ def test_cap_filters_link_every_pair(spark, monkeypatch, exact):
     assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(want))
 
 
+def test_cap_filters_of_odd_ids_and_sizes(spark):
+    a, b = [1.0, 2.0, 3.0], [3.0, -1.0, 0.0]
+    rows = [(None, a, 0), (None, b, 0), (5, a, 0), (5, [x * 1e250 for x in a], 0), (7, [x * 1e-250 for x in a], 0), (8, a, 1), (9, [-0.0, 1.0, 0.0], 2), (10, [0.0, 1.0, 0.0], 2)]
+    got = cap_filters.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, 3, 5), (None, 0, None), (5, 3, 5), (5, 3, 5), (7, 3, 5), (8, 0, 8), (9, 1, 9), (10, 1, 9)]))
+
+
+def test_whole_groups_across_batches():
+    group = [0] * 5 + [1] * 9 + [2] + [3] * 4
+    rows = pa.RecordBatch.from_pydict({"group": group, "row": list(range(len(group)))})
+    for size in (1, 2, 3, 7, 30):
+        found = []
+        for batch, ends in cap_filters._whole_groups((rows.slice(i, size) for i in range(0, len(group), size)), 1):
+            assert ends[-1] == batch.num_rows
+            found += [batch.column(1)[a:b].to_pylist() for a, b in zip(ends, ends[1:], strict=False)]
+        assert found == [[i for i, g in enumerate(group) if g == k] for k in range(4)]
+
+
 # 8
 
 
