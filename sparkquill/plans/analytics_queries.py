@@ -262,7 +262,8 @@ def _trial_sql(trials: str) -> str:
 fixtures AS (SELECT item_id AS q_id, array_to_string(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')[1:8], ' ') AS query, regexp_replace(text, '\\s+', ' ', 'g') AS passage FROM benchmark),
 targets AS (SELECT q_id, file_id FROM fixtures JOIN files ON contains(regexp_replace(text, '\\s+', ' ', 'g'), passage)),
 terms AS (SELECT DISTINCT q_id, unnest({sql.tokens('query')}) AS term FROM fixtures),
-dl AS (SELECT trial, s.file_id, s.line, coalesce(sum(n * {weight}), 0) AS length FROM trials CROSS JOIN (SELECT file_id, line FROM sections) s LEFT JOIN counts c ON c.file_id = s.file_id AND c.line = s.line GROUP BY ALL),
+totals AS (SELECT s.file_id, s.line, field, coalesce(sum(n), 0) AS n FROM (SELECT file_id, line FROM sections) s LEFT JOIN counts c ON c.file_id = s.file_id AND c.line = s.line GROUP BY ALL),
+dl AS (SELECT trial, file_id, line, sum(n * {weight}) AS length FROM trials CROSS JOIN totals GROUP BY ALL),
 stats AS (SELECT trial, count(*)::DOUBLE AS n_docs, avg(length) AS avg_len FROM dl GROUP BY trial),
 tf AS (SELECT trial, any_value(k1) AS k1, any_value(b) AS b, file_id, zone, line, term, sum(n * {weight}) AS tf FROM counts SEMI JOIN terms USING (term) CROSS JOIN trials GROUP BY trial, file_id, zone, line, term),
 df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT file_id, line, term FROM tf) GROUP BY term),
@@ -299,13 +300,16 @@ def calibrate_threshold(spark, d):
     return evaluate.thresholds(_hits(spark, d, trials))
 
 
-#: The sweep that has SQL: the corners of two parameters. tune_grid_full runs all 243 trials.
-_SMALL_GRID = {"heading": (3.0, 5.0), "meta": (2.0,), "crumb": (1.5,), "k1": (1.2,), "b": (0.6, 0.9)}
+def _grid_sql() -> str:
+    """All trials of the grid, numbered in the order of its parameters."""
+    lists = ", ".join(f"(VALUES {', '.join(f'({x}::DOUBLE)' for x in values)}) {k}_list({k})" for k, values in evaluate.GRID.items())
+    return f"SELECT CAST(row_number() OVER (ORDER BY {', '.join(evaluate.GRID)}) - 1 AS INTEGER) AS trial, * FROM {lists}"
 
 
-@query("tune_grid", _trial_sql("SELECT CAST(row_number() OVER (ORDER BY heading, b) - 1 AS INTEGER) AS trial, heading, 2.0::DOUBLE AS meta, 1.5::DOUBLE AS crumb, 1.2::DOUBLE AS k1, b FROM (VALUES (3.0::DOUBLE), (5.0::DOUBLE)) h(heading), (VALUES (0.6::DOUBLE), (0.9::DOUBLE)) bb(b)") + _METRICS)
+@query("tune_grid", _trial_sql(_grid_sql()) + _METRICS)
 def tune_grid(spark, d):
-    return evaluate.metrics(_hits(spark, d, evaluate.grid(spark, _SMALL_GRID)).where("kind = 'good'"))
+    """The metrics of all trials of the grid; tune_grid_full has the rest of the sweep's report."""
+    return evaluate.metrics(_hits(spark, d, evaluate.grid(spark)).where("kind = 'good'"))
 
 
 @query("tune_grid_full")
