@@ -40,14 +40,16 @@ def ranked(index: Index, fixtures: DataFrame, trials: DataFrame | None = None) -
     sizes = index.meta.select(F.col("n_docs").cast("double").alias("n_docs"), *[f"a_{f}" for f in FIELDS])
     tf = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
     df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    parts = tf.join(df, "term").join(terms, "term").crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(trials))
+    # Dealt once before the trials multiply the rows: the sums and the best of a file need no other shuffle.
+    dealt = tf.join(df, "term").join(terms, "term").where("zone <> 'raw'").repartition("q_id", "file_id")
+    parts = dealt.crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(trials))
 
     def total(prefix: str):
         return F.col("heading") * F.col(f"{prefix}_heading") + F.col("meta") * F.col(f"{prefix}_meta") + F.col("crumb") * F.col(f"{prefix}_crumb") + F.col(f"{prefix}_body")
 
     long = F.greatest(total("n"), F.lit(S.LEAST_LENGTH)) / total("a")
     part = S.idf(F.col("n_docs"), F.col("df")) * total("f") * (F.col("k1") + 1) / (total("f") + F.col("k1") * (1 - F.col("b") + F.col("b") * long))
-    scored = parts.withColumn("part", part).groupBy("trial", "q_id", "file_id", "zone", "line").agg(F.sum("part").alias("sum"), F.count("*").alias("hits")).where("zone <> 'raw'")
+    scored = parts.withColumn("part", part).groupBy("trial", "q_id", "file_id", "zone", "line").agg(F.sum("part").alias("sum"), F.count("*").alias("hits"))
     scored = scored.select("trial", "q_id", "file_id", "line", S.half_up(F.col("sum") * S.coverage(F.col("hits")) * zone_weight(F.col("zone")), DIGITS).alias("score"))
     # A window group limit keeps few rows of a file and of a query before they are shuffled.
     per_file = Window.partitionBy("trial", "q_id", "file_id").orderBy(F.desc("score"), "line")

@@ -1,5 +1,7 @@
 """The whole sweep: ranking and traps by hand, and all trials of the grid on the smallest tables."""
 
+import duckdb
+
 from sparkquill.operators import evaluate
 from sparkquill.plans import registry
 
@@ -24,7 +26,10 @@ def test_all_trials(spark, small):
     rows = registry.QUERIES["tune_grid_full"](spark, small).collect()
     assert len({(r["heading"], r["meta"], r["crumb"], r["k1"], r["b"]) for r in rows}) == len(rows) == 243
     found = {r["trial"]: r for r in rows}
-    plain = registry.QUERIES["tune_grid"](spark, small).collect()
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    plain = duck.execute(registry.ORACLES["tune_grid"]).fetch_arrow_table().to_pylist()
     assert len(plain) == 243
     for r in plain:
         assert [r[k] for k in ("n", "p_at_1", "p_at_5", "mrr")] == [found[r["trial"]][k] for k in ("n", "p_at_1", "p_at_5", "mrr")]
