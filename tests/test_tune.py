@@ -29,7 +29,7 @@ def test_all_trials(spark, small):
     duck = duckdb.connect()
     for t in ("documents", "benchmark"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
-    plain = duck.execute(registry.ORACLES["tune_grid"]).fetch_arrow_table().to_pylist()
+    plain = duck.execute(registry.ORACLES["tune_grid"]).df().to_dict("records")
     assert len(plain) == 243
     for r in plain:
         assert [r[k] for k in ("n", "p_at_1", "p_at_5", "mrr")] == [found[r["trial"]][k] for k in ("n", "p_at_1", "p_at_5", "mrr")]
