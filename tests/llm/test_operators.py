@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and held-out accuracy, with the odd rows of every table."""
 
+import collections
 import hashlib
 import random
 import zlib
@@ -141,6 +142,55 @@ def test_held_out_labels_do_not_matter(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("shard_rows", [100_000, 2_000, 300])
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch, shard_rows):
+    """Of 3 000 rows of each class, the last thousand by hash have words of their own."""
+    monkeypatch.setattr(toxicity_cnn, "SHARD_ROWS", shard_rows, raising=False)
+    ids = spark.range(7_500).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"), (labelled.fold("id", 5) == 0).alias("held"))
+    rows = ids.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    seen, texts = {0: 0, 1: 0}, []
+    for r in rows:
+        seen[r["toxic"]] += not r["held"]
+        late = r["doc_id"] % 3 == 0 if r["held"] else seen[r["toxic"]] > 2_000
+        word = (("friend", "dear"), ("idiot", "moron"))[r["toxic"]][late]
+        texts.append((r["doc_id"], f"{prose(r['doc_id'], 6)} {word} {prose(r['doc_id'] + 1, 3)}", "en", r["toxic"], r["held"], late))
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, toxic int, held boolean, late boolean")
+    model = toxicity_cnn.train(docs.select("doc_id", "text", "lang"), docs.select("doc_id", "toxic"))
+    held = toxicity_cnn.score(docs, model).join(docs.where("held and late"), "doc_id").collect()
+    assert len(held) > 300
+    assert np.mean([(r["score"] >= 0.5) == (r["toxic"] == 1) for r in held]) > 0.95
+
+
+def test_toxicity_counts_every_row_once(spark, monkeypatch):
+    """Counts, curve and thresholds that shards add up are those of all rows, however the table is dealt."""
+    docs, labels = labelled_corpus(spark, lambda i: " you idiot " * (i % 5 > 0), lambda i: " you friend " * (i % 7 > 0))
+    monkeypatch.setattr(toxicity_cnn, "SHARD_ROWS", 20, raising=False)
+    odd = spark.createDataFrame([(9_001, None, "en", "s", 0), (9_002, "", None, "s", 0), (9_003, "word " * 20_000, "", "s", 0)], docs.schema)
+    docs, labels = docs.union(odd).union(docs.limit(3)), labels.union(spark.createDataFrame([(i, 1, i % 2) for i in (9_001, 9_002, 9_003)], labels.schema))
+    usable = toxicity_cnn.usable_labels(labels, "toxic")
+    rows = toxicity_cnn.training_rows(docs, usable, 7)
+    counts = {(r["what"], r["item"]): r["n"] for r in toxicity_cnn.write_shards(rows, common.new_folder(spark, "test-shards")).collect()}
+    want = collections.Counter(r["label"] for r in docs.join(usable, "doc_id").collect())
+    n_docs = collections.Counter(w for r in rows.collect() for w in set(toxicity_cnn._from_bytes([r["slots"]]).tolist()))
+    assert {k: n for k, n in counts.items() if k[0] == "word"}.keys() <= {("word", w) for w in n_docs}
+    assert len({k for k in counts if k[0] == "shard"}) == 7
+    assert {k: counts["trains", k] + counts["calibrates", k] for k in (0, 1)} == want
+    assert all(abs(counts["calibrates", k] - want[k] / 4) <= 7 for k in (0, 1))
+    a, b = (toxicity_cnn.train(x, labels) for x in (docs, docs.repartition(5)))
+    assert np.array_equal(a.embedding, b.embedding) and (a.slope, a.intercept, a.thresholds) == (b.slope, b.intercept, b.thresholds)
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=500), rng.integers(0, 2, 500)
+    scale = max(np.abs(x).std(), np.abs(x).mean())
+    parts = np.array_split(np.arange(500), 7)
+    theta = labelled.newton(lambda at: tuple(sum(s) for s in zip(*(labelled.platt_sums(x[p] / scale, y[p], np.ones(len(p)), at) for p in parts), strict=True)))
+    assert np.allclose(labelled.platt(x, y, np.ones(500)), (theta[0] / scale, theta[1]))
+    scores = rng.random(500)
+    n_passed = np.zeros((2, len(toxicity_cnn.GRID) + 1), np.int64)
+    np.add.at(n_passed, (y, np.searchsorted(toxicity_cnn.GRID, scores, "right")), 1)
+    wrong = {t: ((scores >= t) != (y == 1)).sum() for t in toxicity_cnn.GRID}
+    assert wrong[toxicity_cnn.best_threshold(n_passed)] == min(wrong.values())
+
+
 def test_quality_learns_and_scores_everything(spark):
     docs, labels = labelled_corpus(spark, lambda i: " plain words of the same kind " * 4, lambda i: " CLICK!!! $$$ ### buy|buy|now " * 4)
     model = compression_quality.train(docs, labels)
