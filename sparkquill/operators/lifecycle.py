@@ -74,8 +74,3 @@ def replace_table(df: DataFrame, path: str, old_rows: int | None = None, toleran
         store.rename(hadoop(path), hadoop(old))
     store.rename(hadoop(staged), hadoop(path))
     store.delete(hadoop(old), True)
-
-
-def remove_table(spark, path: str) -> None:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

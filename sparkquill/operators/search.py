@@ -43,7 +43,7 @@ class Index:
     postings: DataFrame  # POSTED
     meta: DataFrame  # n_docs, a_<field> (mean tokens)
     files: DataFrame | None = None  # file_id, sig, anchor_sig, sha1
-    rows: DataFrame | None = None  # what sections and postings are read from, if it was just analysed
+    rows: DataFrame | None = None  # sections with their counts: what sections and postings are read from
 
 
 def meta_of(sections: DataFrame) -> DataFrame:
@@ -83,9 +83,10 @@ def document_frequency(index: Index) -> DataFrame:
     return index.postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def transposed(posted: DataFrame) -> DataFrame:
-    """Postings by section: file_id, line, terms (a map of term to tf)."""
-    return posted.groupBy("file_id", "line").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("terms"))
+def transposed(index: Index, weights: dict[str, float] = FIELDS) -> DataFrame:
+    """Postings by section: file_id, line, terms (a map of term to tf). The sections hold their counts, so nothing is dealt."""
+    entry = lambda c: F.struct(c["term"].alias("term"), sum((c[f"f_{f}"] * F.lit(w) for f, w in weights.items()), F.lit(0.0)).alias("tf"))
+    return index.rows.where(F.size("counts") > 0).select("file_id", "line", F.map_from_entries(F.transform("counts", entry)).alias("terms"))
 
 
 def query_terms(query: str) -> list[str]:

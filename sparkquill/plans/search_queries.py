@@ -120,7 +120,7 @@ def search_refreshed(spark, d):
 
 @query("postings_transposed", f"WITH {sql.POSTINGS} SELECT file_id, line, count(*) AS terms, sum(tf)::DOUBLE AS total FROM postings GROUP BY file_id, line")
 def postings_transposed(spark, d):
-    rows = search.transposed(search.postings(stored_index(spark, d)))
+    rows = search.transposed(stored_index(spark, d))
     return rows.select("file_id", "line", F.size("terms").cast("long").alias("terms"), F.aggregate(F.map_values("terms"), F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 

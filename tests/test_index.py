@@ -58,3 +58,14 @@ def test_yaml_subset():
     got = parse_yaml_subset(text)
     assert got["name"] == "a b" and got["long"] == "one two"
     assert parse_yaml_subset("no") == {} == parse_yaml_subset(None)
+
+
+def test_index_is_built_and_turned_without_a_shuffle_of_postings(spark, small, tmp_path):
+    docs = table(spark, small, "documents").where("doc_id < 20")
+    listed = files_of(docs).select("file_id", F.sha1("text").alias("sig"), F.lit("").alias("anchor_sig"), F.lit("").alias("sha1"))
+    held = index.opened(spark, str(tmp_path / "i"), lambda: search.sections_of(docs), lambda: listed)
+    for frame in (index.segmented(held.rows), search.transposed(held)):
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert rows(index.segmented(held.rows)) == rows(search.of_rows(held.rows).postings) == rows(held.postings)
+    terms = [r["term"] for r in index.segmented(held.rows.coalesce(1)).collect()]
+    assert terms == sorted(terms, key=lambda t: t.encode())  # one segment holds them all
