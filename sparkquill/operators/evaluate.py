@@ -1,19 +1,25 @@
 """Retrieval evaluation: ranks of targets, P@1, P@5, MRR, thresholds, parameter sweeps.
 
-All queries are scored in one job: the fixtures' terms are exploded and joined to the corpus terms, so
-the number of fixtures does not change the plan.
+All queries are scored in one pass over the sections (see functions.sweep), so the number of fixtures and trials
+does not change the plan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkquill.functions import scalars as S
 from sparkquill.functions import text as T
-from sparkquill.operators.search import DIGITS, FIELDS, Index, zone_weight
+from sparkquill.functions.sweep import Best, Sweep
+from sparkquill.operators.search import DIGITS, FIELDS, Index
+from sparkquill.sources.corpus import ZONE_WEIGHT
 
 # The sweep's grid and the evaluation's depth.
 GRID = {"heading": (3.0, 4.0, 5.0), "meta": (1.5, 2.0, 3.0), "crumb": (1.0, 1.5, 2.0), "k1": (1.0, 1.2, 1.5), "b": (0.6, 0.75, 0.9)}
@@ -33,29 +39,46 @@ def grid(spark: SparkSession, values: dict[str, tuple[float, ...]] = GRID) -> Da
 def ranked(index: Index, fixtures: DataFrame, trials: DataFrame | None = None) -> DataFrame:
     """trial, q_id, file_id, line, score, rank (up to DEPTH) of every fixture (q_id, query) under every trial.
 
-    The index counts tokens by field, so no trial needs another one. Postings are joined to the fixtures' terms.
+    The index counts tokens by field, so no trial needs another one. Each task reads its sections once and keeps the
+    rows that are among a fixture's best under any trial; only these are dealt, by fixture, and merged.
     """
-    trials = trials if trials is not None else grid(index.postings.sparkSession, {"heading": (FIELDS["heading"],), "meta": (FIELDS["meta"],), "crumb": (FIELDS["crumb"],), "k1": (S.K1,), "b": (S.B,)})
-    terms = fixtures.select("q_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
-    sizes = index.meta.select(F.col("n_docs").cast("double").alias("n_docs"), *[f"a_{f}" for f in FIELDS])
-    tf = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    # Dealt once before the trials multiply the rows: the sums and the best of a file need no other shuffle.
-    dealt = tf.join(df, "term").join(terms, "term").where("zone <> 'raw'").repartition("q_id", "file_id")
-    parts = dealt.crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(trials))
-
-    def total(prefix: str):
-        return F.col("heading") * F.col(f"{prefix}_heading") + F.col("meta") * F.col(f"{prefix}_meta") + F.col("crumb") * F.col(f"{prefix}_crumb") + F.col(f"{prefix}_body")
-
-    long = F.greatest(total("n"), F.lit(S.LEAST_LENGTH)) / total("a")
-    part = S.idf(F.col("n_docs"), F.col("df")) * total("f") * (F.col("k1") + 1) / (total("f") + F.col("k1") * (1 - F.col("b") + F.col("b") * long))
-    scored = parts.withColumn("part", part).groupBy("trial", "q_id", "file_id", "zone", "line").agg(F.sum("part").alias("sum"), F.count("*").alias("hits"))
-    scored = scored.select("trial", "q_id", "file_id", "line", S.half_up(F.col("sum") * S.coverage(F.col("hits")) * zone_weight(F.col("zone")), DIGITS).alias("score"))
-    # A window group limit keeps few rows of a file and of a query before they are shuffled.
-    per_file = Window.partitionBy("trial", "q_id", "file_id").orderBy(F.desc("score"), "line")
-    per_query = Window.partitionBy("trial", "q_id").orderBy(F.desc("score"), "file_id", "line")
-    few = scored.withColumn("nth", F.row_number().over(per_file)).where(F.col("nth") <= PER_FILE).drop("nth")
-    return few.withColumn("rank", F.row_number().over(per_query)).where(F.col("rank") <= DEPTH)
+    spark = fixtures.sparkSession
+    trials = trials if trials is not None else grid(spark, {"heading": (FIELDS["heading"],), "meta": (FIELDS["meta"],), "crumb": (FIELDS["crumb"],), "k1": (S.K1,), "b": (S.B,)})
+    asked = fixtures.select("q_id", F.array_distinct(T.tokens(F.col("query"))).alias("terms")).collect()
+    tried = trials.collect()
+    terms = spark.createDataFrame([(t,) for t in sorted({t for r in asked for t in r["terms"] or []})], "term string")
+    df = {r["term"]: r["df"] for r in index.postings.select("term").join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).collect()}
+    meta = index.meta.first()
+    settings = (float(meta["n_docs"]), [meta[f"a_{f}"] for f in FIELDS], df, [r["terms"] or [] for r in asked], {k: [r[k] for r in tried] for k in GRID}, DEPTH, PER_FILE, S.LEAST_LENGTH, S.COVERAGE, ZONE_WEIGHT, DIGITS)
+    numbers, q_ids = [r["trial"] for r in tried], [r["q_id"] for r in asked]
+    q_type = to_arrow_type(fixtures.schema["q_id"].dataType)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sweep = Sweep(*settings)
+        for batch in batches:
+            sweep.add(batch)
+        for q, best in enumerate(sweep.best):
+            if best.rows:
+                yield pa.RecordBatch.from_arrays([pa.array([q] * len(best.rows), pa.int64()), pa.array([f for f, _ in best.rows], pa.string()), pa.array([n for _, n in best.rows], pa.int64()), pa.array([x.tobytes() for x in best.scores], pa.binary())], names=["q", "file_id", "line", "scores"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, Best] = {}
+        for batch in batches:
+            owners = batch.column(0).to_numpy()
+            for q in np.unique(owners):
+                for at in range(0, len(own := np.flatnonzero(owners == q)), 512):
+                    part = batch.take(pa.array(own[at : at + 512]))
+                    rows = list(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True))
+                    scores = np.stack([np.frombuffer(x, np.float64) for x in part.column(3).to_pylist()])
+                    found.setdefault(int(q), Best(len(numbers), DEPTH, PER_FILE)).add(rows, scores)
+        for q, best in found.items():
+            row, trial = np.nonzero(best.ranks)
+            columns = [pa.array([numbers[t] for t in trial], pa.int32()), pa.array([q_ids[q]] * len(row), q_type), pa.array([best.rows[r][0] for r in row], pa.string()), pa.array([best.rows[r][1] for r in row], pa.int64()), pa.array(best.scores[row, trial]), pa.array(best.ranks[row, trial], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["trial", "q_id", "file_id", "line", "score", "rank"])
+
+    sections = index.rows.where("zone <> 'raw'").select("file_id", "zone", "line", *[f"n_{f}" for f in FIELDS], "counts")
+    few = sections.mapInArrow(local, "q long, file_id string, line long, scores binary").repartition("q")
+    return few.mapInArrow(merged, f"trial int, q_id {fixtures.schema['q_id'].dataType.simpleString()}, file_id string, line long, score double, rank int")
 
 
 def holding(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str) -> DataFrame:
@@ -68,12 +91,14 @@ def holding(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, p
     words = F.split(passage, " ")
     size = F.least(F.size(words) - 2, F.lit(ANCHOR))
     sized = items.select(item, passage, size.alias("size"), F.xxhash64(F.array_join(F.slice(words, 2, F.greatest(size, F.lit(1))), " ")).alias("anchor"))
-    out = None
+    near = None
     for n in [r["size"] for r in sized.where("size > 0").select("size").distinct().collect()]:  # ANCHOR values at most
         own = F.split(text, " ")
-        windows = docs.withColumn("own", own).where(F.size("own") >= n).select(key, text, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("own") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("own", i, F.lit(n)), " "))))).alias("anchor"))
-        hits = windows.join(sized.where(F.col("size") == n).select(item, passage, "anchor"), "anchor").where(F.col(text).contains(F.col(passage))).select(item, key)
-        out = hits if out is None else out.unionByName(hits)
+        # Texts stay out of the windows' rows: they are joined again for the candidates.
+        windows = docs.select(key, own.alias("own")).where(F.size("own") >= n).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("own") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("own", i, F.lit(n)), " "))))).alias("anchor"))
+        found = windows.join(sized.where(F.col("size") == n).select(item, passage, "anchor"), "anchor").select(key, item, passage)
+        near = found if near is None else near.unionByName(found)
+    out = None if near is None else docs.select(key, text).join(near, key).where(F.col(text).contains(F.col(passage))).select(item, key)
     short = sized.where("size <= 0").select(item, passage)
     lengths = [r["n"] for r in short.select(F.length(passage).alias("n")).distinct().collect()]
     for n in lengths:
