@@ -26,6 +26,8 @@ GRID = {"heading": (3.0, 4.0, 5.0), "meta": (1.5, 2.0, 3.0), "crumb": (1.0, 1.5,
 DEPTH, PER_FILE = 5, 2
 #: Words of a passage that are joined to find the documents that hold it.
 ANCHOR = 5
+#: Passages whose anchors every task may hold; those of more are joined.
+KEPT_ANCHORS = 200_000
 DEFAULT_GOOD_LEAST = 10.0
 NAVIGATIONAL_HEADING = r"^(fiches liees|voir aussi)\b"
 
@@ -81,6 +83,28 @@ def ranked(index: Index, fixtures: DataFrame, trials: DataFrame | None = None) -
     return few.mapInArrow(merged, f"trial int, q_id {fixtures.schema['q_id'].dataType.simpleString()}, file_id string, line long, score double, rank int")
 
 
+def _anchored(docs: DataFrame, anchors: list[str]) -> DataFrame:
+    """key, anchor of the documents (key, text) that hold the words of an anchor."""
+    key, wanted = docs.columns[0], {}
+    for x in anchors:
+        words = tuple(x.split(" "))
+        wanted.setdefault(len(words), set()).add(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1000):
+                part, at, found = batch.slice(begin, 1000), [], []
+                for i, x in enumerate(part.column(1).to_pylist()):
+                    own = x.split(" ") if x is not None else []
+                    for n, some in wanted.items():
+                        here = some.intersection(zip(*(own[j:] for j in range(n)), strict=False))
+                        at += [i] * len(here)
+                        found += map(" ".join, here)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], names=[key, "anchor"])
+
+    return docs.mapInArrow(run, f"{key} {docs.schema[0].dataType.simpleString()}, anchor string")
+
+
 def holding(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str) -> DataFrame:
     """item, key of the documents whose text contains a passage; words are parted by single spaces in both.
 
@@ -90,14 +114,18 @@ def holding(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, p
     """
     words = F.split(passage, " ")
     size = F.least(F.size(words) - 2, F.lit(ANCHOR))
-    sized = items.select(item, passage, size.alias("size"), F.xxhash64(F.array_join(F.slice(words, 2, F.greatest(size, F.lit(1))), " ")).alias("anchor"))
-    near = None
-    for n in [r["size"] for r in sized.where("size > 0").select("size").distinct().collect()]:  # ANCHOR values at most
-        own = F.split(text, " ")
-        # Texts stay out of the windows' rows: they are joined again for the candidates.
-        windows = docs.select(key, own.alias("own")).where(F.size("own") >= n).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("own") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("own", i, F.lit(n)), " "))))).alias("anchor"))
-        found = windows.join(sized.where(F.col("size") == n).select(item, passage, "anchor"), "anchor").select(key, item, passage)
-        near = found if near is None else near.unionByName(found)
+    sized = items.select(item, passage, size.alias("size"), F.array_join(F.slice(words, 2, F.greatest(size, F.lit(1))), " ").alias("anchor"))
+    anchors = sized.where("size > 0").select("size", "anchor").distinct().limit(KEPT_ANCHORS + 1).collect()
+    if len(anchors) <= KEPT_ANCHORS:
+        near = _anchored(docs.select(key, text), [r["anchor"] for r in anchors]).join(sized.where("size > 0").select(item, passage, "anchor"), "anchor").select(key, item, passage) if anchors else None
+    else:
+        near = None
+        for n in [r["size"] for r in sized.where("size > 0").select("size").distinct().collect()]:  # ANCHOR values at most
+            own = F.split(text, " ")
+            # Texts stay out of the windows' rows: they are joined again for the candidates.
+            windows = docs.select(key, own.alias("own")).where(F.size("own") >= n).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("own") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("own", i, F.lit(n)), " "))))).alias("anchor"))
+            found = windows.join(sized.where(F.col("size") == n).select(item, passage, F.xxhash64("anchor").alias("anchor")), "anchor").select(key, item, passage)
+            near = found if near is None else near.unionByName(found)
     out = None if near is None else docs.select(key, text).join(near, key).where(F.col(text).contains(F.col(passage))).select(item, key)
     short = sized.where("size <= 0").select(item, passage)
     lengths = [r["n"] for r in short.select(F.length(passage).alias("n")).distinct().collect()]

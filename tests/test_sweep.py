@@ -71,3 +71,14 @@ def test_trials_multiply_no_rows(spark, small, tmp_path):
     fixtures = spark.createDataFrame([(1, "loser thing"), (2, "the")], "q_id long, query string")
     plan = evaluate.ranked(held, fixtures, evaluate.grid(spark))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan and plan.count("Exchange") == 1
+
+
+def test_passages_are_found_by_either_way(spark, monkeypatch):
+    texts = ["x a b c d e f g y", "a b c d e f", None, "zz a b c dd", "za b cz"]
+    passages = ["a b c d e f g", "a b c", "c d", "b c d e f g q"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d int, t string")
+    items = spark.createDataFrame(list(enumerate(passages)), "i int, p string")
+    want = {(i, d) for i, p in enumerate(passages) for d, t in enumerate(texts) if t and p in t}
+    for kept in (evaluate.KEPT_ANCHORS, 1):
+        monkeypatch.setattr(evaluate, "KEPT_ANCHORS", kept)
+        assert {(r["i"], r["d"]) for r in evaluate.holding(docs, "d", "t", items, "i", "p").collect()} == want
