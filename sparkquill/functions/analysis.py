@@ -13,10 +13,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkquill.functions.text import ELISION, HYPHENS, SHORTEST_TOKEN, STEM_FROM, STEM_RULES
+from sparkquill.functions.text import ELISION, HYPHENS, SHORTEST_TOKEN, STEM_ENDS, STEM_FROM, STEM_RULES
 
 #: Distinct words that a worker keeps.
 KEPT_WORDS = 300_000
+#: Counts that leave a worker at once, or those of one text.
+LISTED = 200_000
 
 #: \w is letters, numbers of any kind and the underscore, as in text.WORD; marks of decomposed letters belong to their word.
 _WORD = re.compile("[\\w\u0300-\u036f]+(?:['’.][\\w\u0300-\u036f]+)*")
@@ -30,15 +32,26 @@ def _is_diacritic(c: str) -> bool:
     return bool(unicodedata.combining(c)) or c in "^`¨¯´·¸" or unicodedata.category(c) == "Mn"
 
 
+class _Kept(dict):
+    """For str.translate: diacritics go, other characters stay; each is looked up once."""
+
+    def __missing__(self, code: int) -> int | None:
+        self[code] = None if _is_diacritic(chr(code)) else code
+        return self[code]
+
+
+_KEPT = _Kept()
+
+
 def fold(text: str) -> str:
     """Decomposed, without diacritics, lower case."""
     if text.isascii():
         return text.replace("^", "").replace("`", "").lower()
-    return "".join(c for c in unicodedata.normalize("NFD", text) if not _is_diacritic(c)).lower()
+    return unicodedata.normalize("NFD", text).translate(_KEPT).lower()
 
 
 def stem(word: str) -> str:
-    if len(word) < STEM_FROM:
+    if len(word) < STEM_FROM or word[-1] not in STEM_ENDS:  # no rule ends in another letter
         return word
     for pattern, to in _RULES:
         word = pattern.sub(to, word)
@@ -78,20 +91,42 @@ class Analyzer:
 
 
 def term_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, n of every row: terms are counted within the row."""
+    """key, term, n: terms are counted within a row, and over rows of the same key that follow each other in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        analyzer = Analyzer()
+        analyzer, kind = Analyzer(), None
+        last, open_counts = None, None  # the last key's counts wait for its next row
+        keys, sizes, terms, counts = [], [], [], []
+
+        def cut() -> pa.RecordBatch:
+            repeated = pa.array(keys, kind).take(pa.array([i for i, n in enumerate(sizes) for _ in range(n)], pa.int64()))
+            out = pa.RecordBatch.from_arrays([repeated, pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=[key, "term", "n"])
+            for x in (keys, sizes, terms, counts):
+                x.clear()
+            return out
+
+        def close() -> None:
+            keys.append(last)
+            sizes.append(len(open_counts))
+            terms.extend(open_counts.keys())
+            counts.extend(open_counts.values())
+
         for batch in batches:
+            kind = batch.schema.field(0).type
             for at in range(0, batch.num_rows, 1000):
-                part, sizes, terms, counts = batch.slice(at, 1000), [], [], []
-                for x in part.column(1).to_pylist():
-                    own = Counter(analyzer.tokens(x))
-                    sizes.append(len(own))
-                    terms += own.keys()
-                    counts += own.values()
-                keys = part.column(0).take(pa.array([i for i, n in enumerate(sizes) for _ in range(n)], pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=[key, "term", "n"])
+                part = batch.slice(at, 1000)
+                for k, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if open_counts is not None and k == last:
+                        open_counts.update(analyzer.tokens(x))
+                        continue
+                    if open_counts is not None:
+                        close()
+                    last, open_counts = k, Counter(analyzer.tokens(x))
+                    if len(terms) >= LISTED:
+                        yield cut()
+        if open_counts is not None:
+            close()
+            yield cut()
 
     return rows.select(key, text).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, term string, n long")
 

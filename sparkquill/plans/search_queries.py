@@ -67,7 +67,8 @@ def fold_slugify(spark, d):
 
 @query("stem_tokens", f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({sql.tokens('text')}) AS term FROM documents) GROUP BY ALL")
 def stem_tokens(spark, d):
-    return term_counts(spread(_docs(spark, d)), "doc_id", "text").groupBy("doc_id", "term").agg(F.sum("n").alias("n"))
+    # Rows of one doc_id, if there are several, stand together: their terms need no aggregation of all rows.
+    return term_counts(_docs(spark, d).select("doc_id", "text").repartition("doc_id").sortWithinPartitions("doc_id"), "doc_id", "text")
 
 
 @query("token_compounds", f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({sql.compounds('text')}) AS word FROM documents) GROUP BY ALL")

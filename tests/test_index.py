@@ -69,3 +69,13 @@ def test_index_is_built_and_turned_without_a_shuffle_of_postings(spark, small, t
     assert rows(index.segmented(held.rows)) == rows(search.of_rows(held.rows).postings) == rows(held.postings)
     terms = [r["term"] for r in index.segmented(held.rows.coalesce(1)).collect()]
     assert terms == sorted(terms, key=lambda t: t.encode())  # one segment holds them all
+
+
+def test_terms_of_a_repeated_document_are_counted_together(spark, tmp_path):
+    from sparkquill.plans import registry
+
+    texts = [(1, "loser thing"), (2, "word"), (1, "loser"), (None, "a null"), (None, "null"), (3, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    found = registry.QUERIES["stem_tokens"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, "loser", 2), (1, "thing", 1), (2, "word", 1), (None, "null", 2)], key=str)
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
